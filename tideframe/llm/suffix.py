@@ -150,12 +150,14 @@ class Block:
         t, window, text = self.t, self.window, self.text.decode("latin-1")
         last = len(t) - 1
         direct = self.inside & self.smaller
-        direct[last] |= self.inside[last]  # the last suffix has no successor to be induced from
         by_bytes = sorted(np.flatnonzero(direct).tolist(), key=lambda p: text[p : p + window])
         ordered = np.array(by_bytes, np.int64)
         induced = self.inside & ~direct
+        induced[last] = False
         bound = np.searchsorted(t[ordered], np.arange(257)) if len(ordered) else np.zeros(257, np.int64)
         bucket: list[list[np.ndarray]] = [[] for _ in range(256)]
+        if self.inside[last]:  # the last suffix has no successor to be induced from; it leads its bucket
+            bucket[t[last]].append(np.array([last]))
         out: list[np.ndarray] = []
         for c in range(256):
             first = np.concatenate(bucket[c]) if bucket[c] else np.zeros(0, np.int64)
