@@ -38,9 +38,9 @@ def test_activations_at_zero_and_sign(spark, name):
     assert one(spark, arrays.activation(name, F.lit(3.0))) > 0.7
 
 
-def test_unknown_activation():
+def test_unknown_activation(spark):
     with pytest.raises(ValueError):
-        arrays.activation("step", F)
+        arrays.activation("step", F.lit(0.0))
 
 
 def test_reflect_padding_of_a_short_array(spark):
