@@ -157,6 +157,17 @@ ORACLES: dict[str, str] = {
                round(e[7] * cos(a3) - e[8] * sin(a3), 6) + 0.0 AS r6, round(e[7] * sin(a3) + e[8] * cos(a3), 6) + 0.0 AS r7 FROM a""",
     "sin_embedding": f"""WITH {_STREAM} SELECT event_id, round(cos(pos), 6) + 0.0 AS e0, round(cos(pos / pow(10000.0, 1 / 3.0)), 6) + 0.0 AS e1,
         round(sin(pos), 6) + 0.0 AS e4, round(sin(pos / 10000.0), 6) + 0.0 AS e7 FROM s""",
+    "conv_encoder": f"""WITH {_STREAM}, a AS (SELECT user_id, pos, 0.25 * lag(value, 2, 0.0) OVER w + 0.5 * lag(value, 1, 0.0) OVER w - 0.25 * value + 0.125 * lead(value, 1, 0.0) OVER w AS y FROM s WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+        b AS (SELECT user_id, pos // 2 AS pos, CASE WHEN y > 0 THEN y / 497 ELSE exp(y / 497) - 1 END AS y FROM a WHERE pos % 2 = 0),
+        c AS (SELECT user_id, pos, 0.5 * lag(y, 2, 0.0) OVER w + 0.25 * lag(y, 1, 0.0) OVER w + 0.125 * y - 0.5 * lead(y, 1, 0.0) OVER w AS y FROM b WINDOW w AS (PARTITION BY user_id ORDER BY pos))
+        SELECT user_id, pos // 2 AS pos, round(y, 6) + 0.0 AS y FROM c WHERE pos % 2 = 0""",
+    "conv_decoder": f"""WITH {_STREAM}, x AS (SELECT user_id, pos * 2 + i AS pos, value / 497 * [1.0, 0.5, 0.25, 0.125][i + 1] AS y, max(pos) OVER (PARTITION BY user_id) * 2 + 2 AS stop FROM s, (SELECT unnest(range(4)) AS i))
+        SELECT user_id, pos, round(sum(y), 6) + 0.0 AS y FROM x WHERE pos < stop GROUP BY user_id, pos""",
+    "rotary_attention": f"""WITH {_STREAM}, x AS (SELECT user_id, pos, value / 100 AS a, CAST(event_id % 3 AS DOUBLE) AS b FROM s),
+        j AS (SELECT q.user_id, q.pos, q.a AS qa, q.b AS qb, k.a, k.b, ((q.a * k.a + q.b * k.b) * cos(k.pos - q.pos) + (q.b * k.a - q.a * k.b) * sin(k.pos - q.pos)) / sqrt(2) AS z
+            FROM x q JOIN x k ON q.user_id = k.user_id AND k.pos BETWEEN q.pos - 7 AND q.pos),
+        e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY user_id, pos)) AS w FROM j)
+        SELECT user_id, pos, round(max(qa) + 0.5 * sum(w * a) / sum(w), 6) + 0.0 AS y0, round(max(qb) + 0.5 * sum(w * b) / sum(w), 6) + 0.0 AS y1 FROM e GROUP BY user_id, pos""",
     "rms_norm": f"""WITH {_LATENT}, a AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x)) / 64 + 1e-8) AS n FROM v)
         SELECT vec_id, round(e[1] / n, 6) + 0.0 AS x0, round(e[64] / n, 6) + 0.0 AS x63 FROM a""",
     "layer_norm": f"""WITH {_LATENT}, a AS (SELECT vec_id, e, list_sum(e) / 64 AS m FROM v), b AS (SELECT *, list_sum(list_transform(e, lambda x: (x - m) * (x - m))) / 64 AS s FROM a)

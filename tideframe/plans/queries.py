@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import arrays, sampling, text
-from ..operators import alignment, framing, metrics, quantize, sequence, state
+from ..operators import alignment, framing, layers, metrics, quantize, sequence, state
 from ..sources import audio, messages
 from ..streaming import jitter
 
@@ -381,6 +382,39 @@ def sin_embedding(spark, sf_dir):
     return out.select("event_id", *[r6(F.get("e", F.lit(i))).alias(f"e{i}") for i in (0, 1, 4, 7)])
 
 
+# network layers with given weights
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    rows = stream(spark, sf_dir)
+    return rows.select("user_id", "pos", F.array(F.col("value") / 497).alias("x"))
+
+
+@query
+def conv_encoder(spark, sf_dir):
+    """Two strided convolutions with an activation between them."""
+    net = layers.conv_encoder([(np.array([[[0.25, 0.5, -0.25, 0.125]]]), 2), (np.array([[[0.5, 0.25, 0.125, -0.5]]]), 2)])
+    out = layers.apply_stack(_points(spark, sf_dir), net, "user_id", "pos", "x", chunk=7)
+    return out.select("user_id", "pos", r6(F.get("out", F.lit(0))).alias("y"))
+
+
+@query
+def conv_decoder(spark, sf_dir):
+    net = layers.conv_decoder([(np.array([[[1.0, 0.5, 0.25, 0.125]]]), 2)])
+    out = layers.apply_stack(_points(spark, sf_dir), net, "user_id", "pos", "x", chunk=7)
+    return out.select("user_id", "pos", r6(F.get("out", F.lit(0))).alias("y"))
+
+
+@query
+def rotary_attention(spark, sf_dir):
+    """Causal attention with rotary positions over eight steps, added to its input."""
+    eye = np.eye(2)
+    net = layers.Residual(layers.Attention(np.concatenate([eye, eye, eye]), eye, heads=1, context=8), 0.5)
+    rows = stream(spark, sf_dir).select("user_id", "pos", F.array(F.col("value") / 100, (F.col("event_id") % 3).cast("double")).alias("x"))
+    out = layers.apply_stack(rows, net, "user_id", "pos", "x", chunk=5)
+    return out.select("user_id", "pos", *[r6(F.get("out", F.lit(i))).alias(f"y{i}") for i in (0, 1)])
+
+
 # normalisation and activations
 
 
