@@ -14,6 +14,7 @@ extra columns are ignored. Whole texts are read, of any length.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,7 +106,7 @@ def train(
     p = softmax(logits / temperature)
     right = p.argmax(1) == label[check]
     sure = p.max(1)[right] if right.any() else np.zeros(1)
-    # a third of what the least sure right answer of the held-back rows got, at most one half
+    # two thirds of what the least sure right answer of the held-back rows got, at most one half
     threshold = float(min(0.5, sure.min() / 1.5))
     return LangModel(langs, weights.astype(np.float32), bias, temperature, threshold)
 
@@ -157,7 +158,6 @@ def fold(id_col: Column) -> Column:
 
 def fit_langid(
     docs: DataFrame,
-    usable: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -184,7 +184,7 @@ def fit_langid(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [counts(t).astype(np.uint32).tobytes() for t in texts_of(b.column(2))]
+            rows = [zlib.compress(counts(t).astype(np.uint32).tobytes(), 1) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["key", "lang", "x"])
 
     got = (
@@ -203,7 +203,7 @@ def fit_langid(
     for r in got:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= rows_per_lang:
-            x = np.frombuffer(r["x"], np.uint32).astype(np.float32)
+            x = np.frombuffer(zlib.decompress(r["x"]), np.uint32).astype(np.float32)
             rows.append(x / max(1.0, x.sum()))
             label.append(langs.index(r["lang"]))
     return train(langs, np.array(label), np.stack(rows))

@@ -25,7 +25,7 @@ RULES = (
     ("few_words", lambda m: m["n_words"] < 50),
     ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
-    ("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * np.maximum(m["n_lines"], 1)),
+    ("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}

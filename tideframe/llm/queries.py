@@ -151,7 +151,7 @@ WITH d AS (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * greatest(n_lines, 1)
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """
