@@ -109,3 +109,15 @@ def prompt_program(phases: list[DataFrame], by: list[str]) -> DataFrame:
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("phase", "phase_step")
     return out.withColumn("step", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def generate(sampled: DataFrame, provided: DataFrame, dimension: DataFrame, by: list[str]) -> DataFrame:
+    """(by, k, step, token): what a generator gives out for tokens sampled on the delayed grid.
+
+    sampled: (by, k, step, token) on the grid. provided: (by, k, step, token) before delays; they win over the
+    sampled ones. Steps up to the largest delay give nothing, and every channel is read at its delayed place.
+    """
+    forced = shift_to_grid(provided, dimension).select(*by, "k", "step", F.col("token").alias("_given"))
+    joined = sampled.join(forced, [*by, "k", "step"], "full_outer")
+    chosen = joined.select(*by, "k", "step", overlay(F.col("_given").isNotNull(), F.col("_given"), F.col("token")).alias("token"))
+    return gather(chosen, dimension).select(*by, "k", "step", "token")

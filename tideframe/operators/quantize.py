@@ -167,3 +167,9 @@ def project(a: Column, matrix: list[list[float]]) -> Column:
 
 
 VECTOR = T.ArrayType(T.DoubleType())
+
+
+def commitment(encoded: DataFrame) -> DataFrame:
+    """Mean squared residual per component of residual_encode's rows."""
+    square = arrays.total(F.transform("residual", lambda x: x * x)) / F.size("residual")
+    return encoded.agg(F.avg(square).alias("penalty"))

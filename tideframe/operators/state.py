@@ -66,3 +66,23 @@ def existing(requests: DataFrame, catalog: DataFrame, key: str) -> tuple[DataFra
 
 def placement(modules: DataFrame, device: str = "device") -> DataFrame:
     return modules.agg(F.count_if(F.col(device) != "cpu").alias("n_gpu"), F.count_if(F.col(device) == "cpu").alias("n_cpu"))
+
+
+def save(state: DataFrame, path: str, metadata: dict) -> None:
+    """Write a state table (key, value, ...) and its scalars beside it as JSON lines."""
+    import json
+
+    for v in metadata.values():
+        if not isinstance(v, (int, float, str, bool, type(None))):
+            raise TypeError("metadata holds numbers, strings, booleans and null only")
+    state.write.mode("overwrite").parquet(f"{path}/tensors")
+    rows = [(k, json.dumps(v)) for k, v in sorted(metadata.items())]
+    state.sparkSession.createDataFrame(rows, "key string, json string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def load(spark, path: str) -> tuple[DataFrame, dict]:
+    """The state table, and the scalars (a bounded number of them)."""
+    import json
+
+    rows = spark.read.schema("key string, json string").json(f"{path}/metadata").limit(100_000).collect()
+    return spark.read.parquet(f"{path}/tensors"), {r["key"]: json.loads(r["json"]) for r in rows}

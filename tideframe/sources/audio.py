@@ -79,3 +79,30 @@ def transcript_json(pieces: DataFrame, by: list[str], order: str, piece: str) ->
     """The pieces of each session as a JSON array in order."""
     rows = pieces.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, piece))).alias("_p"))
     return rows.select(*by, F.to_json(F.transform("_p", lambda x: x[piece])).alias("value"))
+
+
+def write_wavs(table: DataFrame, key: str, pcm: str, folder: str, rate: int = C.SAMPLE_RATE) -> DataFrame:
+    """Write each row's samples to `<folder>/<key>.wav`; returns (key, path, n_samples) lazily.
+
+    Files appear under their names when they are complete, so a repeated task does no harm.
+    """
+    import uuid
+
+    kind = table.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            rows = []
+            for k, x in zip(b[key], b[pcm], strict=True):
+                own = f"{base}/{uuid.uuid4().hex}.writing"
+                with store.open_output_stream(own) as f:
+                    f.write(encode_wav(np.asarray(x, np.float32), rate))
+                store.move(own, f"{base}/{k}.wav")
+                rows.append((k, f"{folder}/{k}.wav", len(x)))
+            yield pd.DataFrame(rows, columns=[key, "path", "n_samples"])
+
+    return table.select(key, pcm).mapInPandas(run, f"{key} {kind}, path string, n_samples bigint")
