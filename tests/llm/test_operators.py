@@ -220,7 +220,7 @@ def test_word_tables_equal_the_library(name):
     letters = "".join(ODD_TEXTS) + "abcdefgh    \n\n.,!"
     texts = ODD_TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)]
     encoder, library = tokens.WordEncoder(tokenizer_file(name)), Tokenizer.from_file(tokenizer_file(name))
-    encoder.table.limit = encoder.parts.limit = 50  # forgetting must not change anything
+    encoder.table.limit = encoder.plain.limit = 50  # forgetting must not change anything
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(part)]

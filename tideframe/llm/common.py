@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -10,7 +13,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent.parent
@@ -35,6 +38,33 @@ def prepare(spark: SparkSession) -> None:
     sc._tideframe_shipped = True
 
 
+_leave: dict[str, list] = {}
+_running = ""
+
+
+def on_leave(kind: str, clear) -> None:
+    """Register how to drop what a kind of operator keeps in a Python worker between its tasks."""
+    _leave.setdefault(kind, []).append(clear)
+
+
+def enter(kind: str) -> None:
+    """Say which kind of operator a task in this worker runs. Workers are reused: what other kinds have kept is
+    dropped and given back to the system, so that a job's stages do not add up in memory."""
+    global _running
+    if _running == kind:
+        return
+    for other, clears in _leave.items():
+        if other != kind:
+            for clear in clears:
+                clear()
+    if _running:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _running = kind
+
+
 def narrow(df: DataFrame, **wanted: str) -> DataFrame:
     """Select columns by exact name under new names, whatever else the table holds.
 
@@ -116,13 +146,4 @@ def un_npz(data: bytes) -> dict:
         return {k: z[k] for k in z.files}
 
 
-def same(a: Column, b: Column) -> Column:
-    """Null-safe equality."""
-    return a.eqNullSafe(b)
-
-
-def local_folder(uri: str) -> str:
-    return uri[len("file://") :] if uri.startswith("file://") else uri
-
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, prepare, texts_of
+from .common import enter, narrow, prepare, texts_of
 
 BUCKET_BITS = 13
 DIM = 16
@@ -183,6 +183,7 @@ def fit_langid(
     picked = source.withColumn("key", key).where(F.col("key") < F.create_map(*pairs)[F.col("lang")])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         for b in batches:
             rows = [zlib.compress(counts(t).astype(np.uint32).tobytes(), 1) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["key", "lang", "x"])
@@ -220,6 +221,7 @@ def detect_languages(
     shared = spark.sparkContext.broadcast(model)  # 2**BUCKET_BITS rows of at most max_langs floats: 2 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         for b in batches:
             lang, score, kept = predict(shared.value, texts_of(b.column(1)))
             yield pa.RecordBatch.from_arrays(
@@ -237,6 +239,7 @@ def keep_known_language(docs: DataFrame, model: LangModel | None, text_col: str
     at, shared = docs.columns.index(text_col), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         for b in batches:
             yield b.filter(pa.array(predict(shared.value, texts_of(b.column(at)))[2]))
 

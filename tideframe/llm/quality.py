@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, prepare, raw_texts
+from .common import enter, narrow, prepare, raw_texts
 
 #: Rules in the order of their bits. A rule gets the measurements of a batch as int64 arrays.
 RULES = (
@@ -102,6 +102,7 @@ def quality_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for b in batches:
             got = measure_batch(raw_texts(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[n]) for n in names]], ["doc_id", *names])
@@ -147,6 +148,7 @@ def keep_good(docs: DataFrame, version: str = "v1", text_col: str = "text") -> D
     at, mask = docs.columns.index(text_col), POLICIES[version]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for b in batches:
             bits = measure_batch(raw_texts(b.column(at)))["failed_bits"]
             yield b.filter(pa.array((bits & mask) == 0))

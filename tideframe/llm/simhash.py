@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, prepare, raw_texts, scratch, shared_dir
+from .common import enter, narrow, prepare, raw_texts, scratch, shared_dir
 
 RADIUS = 4
 SAMPLE = 65536
@@ -63,10 +63,6 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def row_keys(id_col: Column, text_col: Column) -> list[Column]:
     """128 bits that name a row by its id and text, never null."""
     return [F.xxhash64(id_col.cast("string"), text_col).alias("k1"), F.xxhash64(text_col, F.lit(1), id_col.cast("string")).alias("k2")]
@@ -79,6 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = source.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in raw_texts(b.column(3))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fp)], ["doc_id", "k1", "k2", "fp"])
@@ -209,6 +206,7 @@ def edges(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield from pack(np.concatenate(kept))
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
+        enter("simhash")
         role = table.column("role").to_numpy()
         data = [np.frombuffer(x, np.uint64) for x in table.column("fps").to_pylist()]
         home = np.unique(np.concatenate([d for d, r in zip(data, role, strict=True) if r == 0] or [np.zeros(0, np.uint64)]))

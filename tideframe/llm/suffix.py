@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, prepare, raw_texts, scratch
+from .common import enter, narrow, on_leave, prepare, raw_texts, scratch
 from .simhash import row_keys
 
 WINDOW = 400
@@ -58,6 +58,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, np.multiply.accumulate(power), np.multiply.accumulate(back)
 
 
+on_leave("suffix", _tables.cache_clear)
+
+
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Mixed polynomial hash of the k bytes at every place."""
     word, power, back = _tables()
@@ -150,11 +153,11 @@ class Block:
         t, window, text = self.t, self.window, self.text.decode("latin-1")
         last = len(t) - 1
         direct = self.inside & self.smaller
-        by_bytes = sorted(np.flatnonzero(direct).tolist(), key=lambda p: text[p : p + window])
-        ordered = np.array(by_bytes, np.int64)
+        at = np.flatnonzero(direct)
+        at = at[np.argsort(t[at], kind="stable")]
+        bound = np.searchsorted(t[at], np.arange(257))
         induced = self.inside & ~direct
         induced[last] = False
-        bound = np.searchsorted(t[ordered], np.arange(257)) if len(ordered) else np.zeros(257, np.int64)
         bucket: list[list[np.ndarray]] = [[] for _ in range(256)]
         if self.inside[last]:  # the last suffix has no successor to be induced from; it leads its bucket
             bucket[t[last]].append(np.array([last]))
@@ -166,7 +169,8 @@ class Block:
                 before = first[first > 0] - 1
                 first = before[induced[before] & (t[before] == c)]
                 scan.append(first)
-            scan.append(ordered[bound[c] : bound[c + 1]])
+            own = sorted(at[bound[c] : bound[c + 1]].tolist(), key=lambda p: text[p : p + window])
+            scan.append(np.array(own, np.int64))
             here = np.concatenate(scan)
             if not len(here):
                 continue
@@ -233,6 +237,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
         names = ["core", "piece", "k1", "k2", "at"]
         for b in batches:
             keys, rows = [], []
@@ -272,6 +277,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole cores are gathered until a block is full; the rows come sorted by core."""
+        enter("suffix")
         held: list[tuple] = []
         size = 0
 
@@ -358,6 +364,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = _with_found(narrow(docs, doc_id=id_col, text=text_col), "doc_id", "text", window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
         for b in batches:
             out = []
             for t, found in zip(raw_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -393,6 +400,7 @@ def without_repeats(
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
         for b in batches:
             found = b.column(b.num_columns - 1).to_pylist()
             cols = list(b.columns[:-1])

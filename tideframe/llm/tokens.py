@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import tokenizer_file
+from .common import enter, on_leave, tokenizer_file
 
 #: Words that a table holds in each of its two generations.
 TABLE = 400_000
@@ -45,15 +45,20 @@ class Table:
         self.old: dict = {}
         self.limit = limit
 
-    def take(self, words: set) -> set:
-        """Make sure that known words are in the new generation; return the unknown ones."""
+    def turn(self) -> None:
+        """Start a new generation if the present one is full."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        missing = words - self.new.keys()
-        if self.old and missing:
-            for w in missing & self.old.keys():
-                self.new[w] = self.old[w]
-            missing = missing - self.new.keys()
+
+    def take(self, words: set) -> list:
+        """Make sure that known words are in the new generation; return the unknown ones."""
+        new, old, missing = self.new, self.old, []
+        for w in words:  # not by set operations with key views, which walk through the whole table
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    missing.append(w)
         return missing
 
 
@@ -69,8 +74,27 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+def _holes(row: list) -> list[int]:
+    """Places of None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = row.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class WordEncoder:
-    """Encodes texts to the ids that `Tokenizer.encode(text, add_special_tokens=False)` gives."""
+    """Encodes texts to the ids that `Tokenizer.encode(text, add_special_tokens=False)` gives.
+
+    Most texts are plain: Latin-1, single blanks and line feeds between words. They are cut by str.split.
+    A word then stands for itself after a blank (vocabularies that drop blanks: for itself); a leading line
+    feed or FIRST says that no blank comes before it. All other texts are cut by a pattern, and those
+    that hold `<|`, where a special token may start, are left to the library whole.
+    """
+
+    FIRST = "\x01"
 
     def __init__(self, path: str):
         import json
@@ -83,50 +107,124 @@ class WordEncoder:
             spec = json.load(f)
         #: spaces are dropped and case is folded, or a space belongs to the next word
         self.dropping = spec.get("normalizer") is not None
+        blank = "" if self.dropping else " ?"
+        digits = "[0-9]" if self.dropping else "[0-9]+"
+        self.inner = re.compile(f"{blank}[{_LATIN}]+|{blank}{digits}|{blank}[!-/:-@\\[-`{{-~]+")
+        self.simple = re.compile(f"{blank}[{_LATIN}!-~]+")
         if self.dropping:
             self.words = re.compile("[^ \n\r\t]+")
-            self.inner = re.compile(f"[{_LATIN}]+|[0-9]|[!-/:-@\\[-`{{-~]+")
-            self.simple = re.compile(f"(?!.*(?:<\\||'))[{_LATIN}!-~]+")
         else:
             self.words = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+")
-            self.inner = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+")
-            self.simple = re.compile(f"(?!.*(?:<\\||')) ?[{_LATIN}!-~]+")
         size = self.whole.get_vocab_size()
         self.code = "H" if size <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
         self.letters = byte_letters()
-        self.table, self.parts = Table(), Table()
+        #: by word of a plain text (and by run of letters, digits or punctuation), and by chunk of another text
+        self.plain, self.table = Table(), Table()
+
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a plain text; None for all others."""
+        for c in "\x1c\x1d\x1e\x1f\x85\xa0":
+            if c in text:
+                return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if self.dropping:
+            return text.lower().split()
+        for c in ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", self.FIRST):
+            if c in text:
+                return None
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = self.FIRST + words[0]
+        return words
+
+    def _part_key(self, part: str) -> str:
+        """A run's name in the table of plain words: as the word that it alone would make."""
+        if self.dropping:
+            return part
+        return part[1:] if part[0] == " " else self.FIRST + part
 
-    def _by_merges(self, parts: list[str]) -> list[bytes]:
+    def _by_merges(self, keys: list[str]) -> None:
+        """Put the ids of runs into the table of plain words."""
+        if not self.dropping:
+            parts = [k[1:] if k[0] == self.FIRST else " " + k for k in keys]
+        else:
+            parts = keys
         mapped = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
         found = self.merges.encode_batch_fast(mapped, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
-
-    def _learn(self, words: list[str]) -> None:
-        cut = {w: self.inner.findall(w.lower() if self.dropping else w) for w in words if self.simple.fullmatch(w)}
-        rest = [w for w in words if w not in cut]
-        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.table.new[w] = array(self.code, e.ids).tobytes()
-        new = list(self.parts.take({p for parts in cut.values() for p in parts}))
-        for p, ids in zip(new, self._by_merges(new), strict=True):
-            self.parts.new[p] = ids
-        known = self.parts.new
+        for k, e in zip(keys, found, strict=True):
+            self.plain.new[k] = array(self.code, e.ids).tobytes()
+
+    def _cut(self, chunk: str) -> list[str] | None:
+        """The runs that a chunk's pre-tokens are, if it is made of plain characters alone."""
+        if "'" in chunk or "<|" in chunk or not self.simple.fullmatch(chunk):
+            return None
+        return self.inner.findall(chunk.lower() if self.dropping else chunk)
+
+    def _learn(self, table: Table, words: list[str], plain: bool) -> None:
+        cut: dict[str, list[str]] = {}
+        rest: list[str] = []
+        for w in words:
+            before = []
+            if not plain or self.dropping:
+                chunk = w
+            elif w[:1] == "\n":
+                chunk, before = w[1:], [self.FIRST + "\n"]
+            elif w[:1] == self.FIRST:
+                chunk = w[1:]
+            else:
+                chunk = " " + w
+            if plain and w.isalpha():
+                cut[w] = [w]
+            elif not chunk:
+                cut[w] = before
+            elif (parts := self._cut(chunk)) is not None:
+                cut[w] = before + [self._part_key(p) for p in parts]
+            else:
+                rest.append(w)
+        self._by_merges(self.plain.take({p for parts in cut.values() for p in parts}))
+        known = self.plain.new
         for w, parts in cut.items():
-            self.table.new[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            table.new[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        if rest:
+            lead = {self.FIRST: 1, "\n": 0}
+            chunks = rest if not plain or self.dropping else [w[lead[w[0]] :] if w[:1] in lead else " " + w for w in rest]
+            for w, e in zip(rest, self.whole.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+                table.new[w] = array(self.code, e.ids).tobytes()
+
+    def _look_up(self, table: Table, cut: list[list[str]], plain: bool) -> list[bytes]:
+        for t in {id(table): table, id(self.plain): self.plain}.values():
+            t.turn()
+        known = table.new
+        rows = [list(map(known.get, words)) for words in cut]
+        holes = [(words, row, _holes(row)) for words, row in zip(cut, rows, strict=True) if None in row]
+        missing = {words[k] for words, _, at in holes for k in at}
+        if missing:
+            self._learn(table, table.take(missing), plain)
+            for words, row, at in holes:
+                for k in at:
+                    row[k] = known[words[k]]
+        return [b"".join(row) for row in rows]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of self.dtype."""
         with uncollected():
-            # a special token's own string cuts a text before the borders of words are looked for
-            cut = [self.words.findall(t) if "<|" not in t else [] for t in texts]
-            missing = self.table.take(set().union(*cut))
-            if missing:
-                self._learn(list(missing))
-            known = self.table.new
-            out = [b"".join([known[w] for w in words]) for words in cut]
+            out: list[bytes | None] = [None] * len(texts)
+            plain: dict[int, list[str]] = {}
+            other: dict[int, list[str]] = {}
             for k, t in enumerate(texts):
                 if "<|" in t:
                     out[k] = array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes()
+                elif (words := self._split(t)) is not None:
+                    plain[k] = words
+                else:
+                    other[k] = self.words.findall(t)
+            for table, some in ((self.plain, plain), (self.table, other)):
+                if some:
+                    for k, ids in zip(some, self._look_up(table, list(some.values()), table is self.plain), strict=True):
+                        out[k] = ids
             return out
 
 
@@ -146,7 +244,7 @@ class PieceEncoder:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("pieces of this vocabulary cross white space marks")
         self.chunk = re.compile("[ ▁]+[^ ▁]*")
-        self.table = Table(TABLE // 2)
+        self.table = Table(TABLE // 4)
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, the ids in decimal joined by commas, and the decoded text of each text."""
@@ -154,8 +252,9 @@ class PieceEncoder:
             return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        self.table.turn()
         cut = [self.chunk.findall(" " + t) if t else [] for t in texts]
-        missing = list(self.table.take(set().union(*cut)))
+        missing = self.table.take(set().union(*cut))
         if missing:
             # the library puts its own mark in front, and takes it away again when it decodes
             ids = self.model.encode([w[1:] or w for w in missing], num_threads=1)
@@ -176,9 +275,15 @@ class PieceEncoder:
 @lru_cache(maxsize=4)
 def word_encoder(name: str) -> WordEncoder:
     """One encoder per Python worker and vocabulary, so that its table lives on between tasks."""
+    enter("words")
     return WordEncoder(tokenizer_file(name) if "/" not in name else name)
 
 
 @lru_cache(maxsize=4)
 def piece_encoder(name: str) -> PieceEncoder:
+    enter("pieces")
     return PieceEncoder(tokenizer_file(name) if "/" not in name else name)
+
+
+on_leave("words", word_encoder.cache_clear)
+on_leave("pieces", piece_encoder.cache_clear)
