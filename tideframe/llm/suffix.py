@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import enter, narrow, on_leave, prepare, raw_texts, scratch
@@ -232,6 +232,15 @@ def repeated_in(rows: list[tuple], window: int) -> Iterator[tuple]:
         seen = k
 
 
+def fresh(name: str) -> Column:
+    """The same long under a partitioning that Spark does not know.
+
+    A join with an aggregate then gets a shuffle of its own on this (small) side, and so adaptive execution
+    may split the other side's partitions where one key holds very many rows.
+    """
+    return F.col(name).bitwiseXOR(F.lit(0).cast("bigint")).alias(name)
+
+
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k1, k2, found) of a table (k1, k2, text); found lists (first start, runs of repeated starts in it)."""
     spark = docs.sparkSession
@@ -253,13 +262,13 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(piece), b.column(0).take(who), b.column(1).take(who), pa.array(at)], names)
 
     every = docs.mapInArrow(cut, "core bigint, piece bigint, k1 bigint, k2 bigint, at bigint")
-    again = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    again = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(fresh("core"))
     where = scratch(spark, "pieces")
     every.join(again, "core", "left_semi").write.parquet(where)
     found = spark.read.parquet(where)
 
     kinds = found.groupBy("core", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
-    many = kinds.groupBy("core").agg(F.count("*").alias("n_kinds"))
+    many = kinds.groupBy("core").agg(F.count("*").alias("n_kinds")).select(fresh("core"), "n_kinds")
     kinds = kinds.join(many, "core").select("core", "piece", "copies", (F.col("n_kinds") > HOT).alias("hot"), "one.*")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +329,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     runs_schema = "core bigint, piece bigint, runs binary"
     usual = with_bytes(kinds.where("not hot")).repartition("core").sortWithinPartitions("core", "piece").mapInArrow(sort_blocks, runs_schema)
     each = with_bytes(kinds.where("hot")).mapInArrow(windows, "core bigint, piece bigint, copies bigint, off int, h1 bigint, h2 bigint")
-    twice = each.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
+    twice = each.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select(fresh("h1"), fresh("h2"))
 
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
