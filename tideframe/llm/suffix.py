@@ -38,7 +38,8 @@ from .common import enter, narrow, on_leave, prepare, raw_texts, scratch
 from .simhash import row_keys
 
 WINDOW = 400
-HOT = 128
+#: Different pieces of one core that are sorted in one block: about 2 MB of text, some seconds of one task.
+HOT = 4096
 #: Starts that one vectorised pass looks at, and bytes of one block that is sorted.
 SEGMENT = 1 << 20
 BLOCK = 1 << 19
