@@ -1,0 +1,146 @@
+"""Near copies by Jaccard similarity of word shingles: MinHash candidates, exact similarity, single links.
+
+1. Every text becomes the set of its lower-cased word shingles. Equal sets are one item from then on.
+2. `BANDS` bands of `ROWS` minimum hashes; items that share a band are joined by a star, and the components of
+   these stars are the candidate groups. A pair of similarity s shares no band with probability
+   (1 - s ** ROWS) ** BANDS: 3 in a million at 0.8, less above.
+3. The texts of a candidate group meet, and exactly those of similarity `least` or more are linked.
+
+Defined cases: null text counts as empty; texts without a word have equal (empty) sets; a text of fewer words
+than a shingle is one shingle; repeated rows are one item; a null id loses against any other id; an empty
+table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import enter, narrow, prepare, raw_texts, scratch
+from .simhash import components, row_keys
+
+WIDTH = 5
+LEAST = 0.8
+ROWS = 6
+BANDS = 42
+
+_TURN = np.random.default_rng(23).integers(1, 2**63, ROWS * BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the different word shingles of a text."""
+    words = text.decode().lower().encode().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.concatenate([[0], end[:-1] + 1])
+    digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
+    h = [digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end[width - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(h, np.uint64))
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """One hash for each band of a set's minimum hashes."""
+    low = np.full(len(_TURN), np.uint64(2**64 - 1))
+    for at in range(0, len(own), 256):
+        np.minimum(low, (own[at : at + 256, None] * _TURN).min(0), out=low)
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
+
+
+def single_links(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """For each set the number of the first set that it is connected with by pairs of that similarity."""
+    top = np.arange(len(sets))
+    size = np.array([len(s) for s in sets], np.int64)
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    ends = np.cumsum(size)
+    mine = [item[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    mark = np.zeros(int(item.max(initial=-1)) + 1, bool)
+    open_ = np.ones(len(sets), bool)
+    live_item, live_owner = item, owner
+    for seed in range(len(sets)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        todo = [seed]
+        while todo:
+            at = todo.pop()
+            if len(live_owner) and open_[live_owner].sum() < 0.5 * len(live_owner):
+                keep = open_[live_owner]
+                live_item, live_owner = live_item[keep], live_owner[keep]
+            mark[mine[at]] = True
+            both = np.bincount(live_owner[mark[live_item]], minlength=len(sets))
+            mark[mine[at]] = False
+            near = open_ & (both >= least * (size + size[at] - both) - 1e-9)
+            new = np.flatnonzero(near & (both > 0))
+            open_[new] = False
+            top[new] = seed
+            todo.extend(new.tolist())
+    return top
+
+
+def keep_one_of_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST
+) -> DataFrame:
+    """One row of each group of linked texts with all its columns: that of the smallest id, then of the smallest text hash."""
+    spark = docs.sparkSession
+    prepare(spark)
+    source = narrow(docs, doc_id=id_col, text=text_col)
+    source = source.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")), "text")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("minhash")
+        for b in batches:
+            sets = [shingles(t, width) for t in raw_texts(b.column(3))]
+            digest = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            signed = pa.array([bands(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(digest), signed], ["doc_id", "k1", "k2", "fp", "bands"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    where = scratch(spark, "signatures")
+    source.mapInArrow(sign, f"doc_id {kind}, k1 bigint, k2 bigint, fp bigint, bands binary").write.parquet(where)
+    rows = spark.read.parquet(where)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    unique = rows.groupBy("fp").agg(first)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            band = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            fp = np.repeat(b.column(0).to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(fp)], ["band", "fp"])
+
+    # an exact copy deals the same bands again; the star's centre is the smallest item, whatever it repeats
+    dealt = rows.select("fp", "bands").mapInArrow(deal, "band bigint, fp bigint")
+    centre = dealt.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("band", "low")
+    centre = centre.select(F.col("band").bitwiseXOR(F.lit(0).cast("bigint")).alias("band"), "low")
+    stars = dealt.join(centre, "band").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    groups = components(stars)
+    groups = groups.unionByName(groups.select(F.col("root").alias("fp"), "root")).distinct()
+
+    def verify(key: tuple, table: pa.Table) -> pa.Table:
+        enter("minhash")
+        fp = table.column("fp").to_numpy()
+        order = np.argsort(fp, kind="stable")
+        text = raw_texts(table.column("text").combine_chunks())
+        top = single_links([shingles(text[i], width) for i in order.tolist()], least)
+        fp = fp[order]
+        return pa.table({"fp": fp, "root": fp[top]})
+
+    members = unique.join(groups, "fp").select("fp", "root", "first.k1", "first.k2")
+    texts = source.select("k1", "k2", "text").join(members, ["k1", "k2"]).dropDuplicates(["fp"]).select("root", "fp", "text")
+    linked = texts.groupBy("root").applyInArrow(verify, "fp bigint, root bigint")
+    labelled = unique.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = labelled.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    at, text = plain[names[docs.columns.index(id_col)]], plain[names[docs.columns.index(text_col)]]
+    kept = plain.select("*", *row_keys(at, text)).join(chosen, ["k1", "k2"], "left_semi")
+    return kept.dropDuplicates(["k1", "k2"]).select(*names).toDF(*docs.columns)
