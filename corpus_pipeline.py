@@ -33,8 +33,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur again are cut out of all texts."""
-    return without_repeats(docs)
+    """Passages of over 50 words, and strings of 400 bytes, that occur again are cut out of all texts."""
+    return without_repeats(docs, words=51)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

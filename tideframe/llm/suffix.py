@@ -25,6 +25,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -347,26 +348,106 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return hits.groupBy("k1", "k2").agg(F.collect_list("hit").alias("found"))
 
 
-def removed_mask(n: int, found: list | None, window: int) -> np.ndarray:
-    """Which of a text's n bytes are covered by the repeated windows."""
+def removed_mask(n: int, found: list | None, window: int, passages: list | None = None) -> np.ndarray:
+    """Which of a text's n bytes are covered by the repeated windows and passages."""
     edge = np.zeros(n + 1, np.int32)
     for hit in found or ():
         r = np.frombuffer(hit["runs"], "<i4").reshape(-1, 2).astype(np.int64)
         np.add.at(edge, hit["start"] + r[:, 0], 1)
         np.add.at(edge, hit["start"] + r[:, 0] + r[:, 1] - 1 + window, -1)
+    for hit in passages or ():
+        edge[hit["from"]] += 1
+        edge[hit["to"]] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
-def _with_found(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """All columns under plain names, then `found`."""
+def word_pieces(text: bytes, words: int) -> Iterator[tuple[int, int, int]]:
+    """(core, first start, number of starts) of each piece of a text, in words. Each start is in one piece."""
+    k = max(2, words // 4)
+    part = -(-(words - k + 1) // 2)
+    digest = xxhash.xxh3_64_intdigest
+    item = np.array([digest(w) for w in text.split()], _U)
+    for at in range(0, len(item) - words + 1, SEGMENT):
+        own = item[at : at + SEGMENT + words - 1]
+        data = own.tobytes()
+        grams = np.array([digest(data[8 * i : 8 * (i + k)]) for i in range(len(own) - k + 1)], _U)
+        anchor = leftmost_minimum(grams, words - k + 1)
+        half = (anchor - np.arange(len(anchor))) // part
+        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1])) + 1
+        low = np.concatenate([[0], cut])
+        count = np.diff(np.concatenate([low, [len(anchor)]]))
+        right = anchor[low] - part * half[low]
+        left = np.maximum(right - part + 1, anchor[low] - (words - k))
+        for lo, n, b, r, m in zip(low.tolist(), count.tolist(), half[low].tolist(), right.tolist(), left.tolist(), strict=True):
+            yield digest(data[8 * r : 8 * (m + words)], b), at + lo, n
+
+
+def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, passages) of a table (k1, k2, text): spans (from, to) in bytes of the strings of that many words that occur again.
+
+    Words are split at ASCII white space, and how much of it stands between them does not count. Pieces are dealt out
+    as those of bytes are; the strings of the cores that occur again meet by 128-bit digests, counted on the map side.
+    """
+    spark = docs.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
+        for b in batches:
+            rows = [(i, *r) for i, t in enumerate(raw_texts(b.column(2))) for r in word_pieces(t, words)]
+            if not rows:
+                continue
+            who = pa.array([r[0] for r in rows], pa.int32())
+            core = pa.array(np.array([r[1] for r in rows], _U).view(np.int64))
+            at = pa.array([r[2] << 16 | r[3] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([core, b.column(0).take(who), b.column(1).take(who), at], ["core", "k1", "k2", "at"])
+
+    every = docs.mapInArrow(cut, "core bigint, k1 bigint, k2 bigint, at bigint")
+    again = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(fresh("core"))
+    some = every.join(again, "core", "left_semi").groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
+        names = ["k1", "k2", "from", "to", "h1", "h2"]
+        for b in batches:
+            who, low, high, h1, h2 = [], [], [], [], []
+            for i, (t, at) in enumerate(zip(raw_texts(b.column(2)), b.column(3).to_pylist(), strict=True)):
+                place = [m.span() for m in re.finditer(rb"\S+", t)]
+                data = np.array([xxhash.xxh3_64_intdigest(t[x:y]) for x, y in place], _U).tobytes()
+                for p in at:
+                    for w in range(p >> 16, (p >> 16) + (p & 0xFFFF)):
+                        h = xxhash.xxh3_128_intdigest(data[8 * w : 8 * (w + words)])
+                        who.append(i)
+                        low.append(place[w][0])
+                        high.append(place[w + words - 1][1])
+                        h1.append(h >> 64)
+                        h2.append(h & 0xFFFFFFFFFFFFFFFF)
+            take = pa.array(who, pa.int32())
+            h1, h2 = (pa.array(np.array(h, _U).view(np.int64)) for h in (h1, h2))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(low, pa.int64()), pa.array(high, pa.int64()), h1, h2], names)
+
+    each = docs.join(some, ["k1", "k2"]).select("k1", "k2", "text", "at")
+    where = scratch(spark, "passages")
+    each.mapInArrow(strings, "k1 bigint, k2 bigint, from bigint, to bigint, h1 bigint, h2 bigint").write.parquet(where)
+    each = spark.read.parquet(where)
+    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(fresh("h1"), fresh("h2"))
+    hits = each.join(twice, ["h1", "h2"], "left_semi")
+    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("passages"))
+
+
+def _with_found(docs: DataFrame, id_col: str, text_col: str, window: int, words: int | None = None) -> DataFrame:
+    """All columns under plain names, then `found`, and `passages` if words are given."""
     prepare(docs.sparkSession)
     keys = narrow(docs, doc_id=id_col, text=text_col)
     keys = keys.select(*row_keys(F.col("doc_id"), F.col("text")), "text")
     spans = repeated_starts(keys, window)
+    more = ["found"]
+    if words is not None:
+        spans = spans.join(repeated_passages(keys, words), ["k1", "k2"], "full")
+        more.append("passages")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     own = row_keys(plain[names[docs.columns.index(id_col)]], plain[names[docs.columns.index(text_col)]])
-    return plain.select("*", *own).join(spans, ["k1", "k2"], "left").select(*names, "found")
+    return plain.select("*", *own).join(spans, ["k1", "k2"], "left").select(*names, *more)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -399,35 +480,37 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", window: int = WINDOW
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", window: int = WINDOW, words: int | None = None
 ) -> DataFrame:
     """The documents with the repeated strings cut out of their texts, and size_col brought up to date.
 
-    Only whole characters are cut, so that the rest stays valid UTF-8.
+    With `words`, strings of that many words that occur again go too, however few bytes they have. Only whole characters are cut, so that the rest stays valid UTF-8.
     """
-    joined = _with_found(docs, id_col, text_col, window)
+    joined = _with_found(docs, id_col, text_col, window, words)
+    n_cols = len(docs.columns)
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("suffix")
         for b in batches:
-            found = b.column(b.num_columns - 1).to_pylist()
-            cols = list(b.columns[:-1])
-            if any(found):
+            found = b.column(n_cols).to_pylist()
+            passages = b.column(n_cols + 1).to_pylist() if words is not None else [None] * len(found)
+            cols = list(b.columns[:n_cols])
+            if any(found) or any(passages):
                 texts = b.column(at).to_pylist()
                 sizes = b.column(size_at).to_pylist() if size_at is not None else None
-                for i, hits in enumerate(found):
-                    if hits and texts[i] is not None:
-                        texts[i] = cut_out(texts[i].encode(), removed_mask(len(texts[i].encode()), hits, window))
+                for i, (hits, spans) in enumerate(zip(found, passages, strict=True)):
+                    if (hits or spans) and texts[i] is not None:
+                        texts[i] = cut_out(texts[i].encode(), removed_mask(len(texts[i].encode()), hits, window, spans))
                         if sizes is not None:
                             sizes[i] = len(texts[i])
                 cols[at] = pa.array(texts, b.column(at).type)
                 if sizes is not None:
                     cols[size_at] = pa.array(sizes, b.column(size_at).type)
-            yield pa.RecordBatch.from_arrays(cols, list(b.schema.names[:-1]))
+            yield pa.RecordBatch.from_arrays(cols, list(b.schema.names[:n_cols]))
 
-    plain = joined.drop("found")
+    plain = joined.drop("found", "passages")
     return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
