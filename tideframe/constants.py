@@ -22,3 +22,13 @@ ACTIONS = ["start", "endTurn", "pause", "restart"]
 
 #: Sampling defaults.
 TEXT_TEMPERATURE, TEXT_TOP_K, AUDIO_TEMPERATURE, AUDIO_TOP_K = 0.7, 25, 0.8, 250
+
+#: The parameters of a session's url in the client's order, and the defaults as the client writes them.
+SESSION_PARAMS = [
+    "text_temperature", "text_topk", "audio_temperature", "audio_topk", "pad_mult", "text_seed", "audio_seed",
+    "repetition_penalty_context", "repetition_penalty", "text_prompt", "voice_prompt",
+]
+SESSION_DEFAULTS = {
+    "text_temperature": "0.7", "text_topk": "25", "audio_temperature": "0.8", "audio_topk": "250", "pad_mult": "0",
+    "repetition_penalty_context": "64", "repetition_penalty": "1",
+}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import constants as C
+
 TAG = "<system>"
 
 
@@ -60,6 +62,15 @@ def link(base: Column, **params: Column) -> Column:
     return F.concat(base, F.lit("?"), F.concat_ws("&", *parts))
 
 
+def session_link(base: Column, text_prompt: Column, voice_prompt: Column, text_seed: Column, audio_seed: Column, **changed: Column) -> Column:
+    """The url of a session: all 11 mandatory parameters in the client's order, the prompt whole; `changed` replaces defaults."""
+    params = {k: F.lit(v) for k, v in C.SESSION_DEFAULTS.items()} | {"text_seed": text_seed, "audio_seed": audio_seed}
+    params |= {"text_prompt": F.coalesce(text_prompt, F.lit("")), "voice_prompt": voice_prompt}
+    if unknown := set(changed) - set(C.SESSION_DEFAULTS):
+        raise ValueError(f"no parameters of a session: {sorted(unknown)}")
+    return link(base, **{k: (params | changed)[k] for k in C.SESSION_PARAMS})
+
+
 def extension(mime: Column) -> Column:
     return F.when(mime.startswith("audio/mp4"), "mp4").when(mime.startswith("audio/ogg"), "ogg").when(
         mime.startswith("audio/wav"), "wav"

@@ -226,6 +226,10 @@ ORACLES: dict[str, str] = {
         SELECT user_id, '["' || string_agg(x, '","' ORDER BY pos) || '"]' AS value FROM t GROUP BY user_id""",
     "session_links": """SELECT conv_id, 'wss://host/api/chat?text_topk=25&session=' || conv_id || '&text_prompt=' || replace(url_encode(substring(text, 1, 12)), '%20', '+') AS url
         FROM conversations WHERE turn = 0""",
+    "session_urls": """SELECT conv_id, 'wss://host/api/chat?text_temperature=0.7&text_topk=25&audio_temperature=0.8&audio_topk=250&pad_mult=0&text_seed='
+            || (conv_id % 1000001) || '&audio_seed=' || (conv_id * 7 % 1000001) || '&repetition_penalty_context=64&repetition_penalty=1&text_prompt='
+            || replace(replace(replace(url_encode(coalesce(text, '')), '%20', '+'), '%2A', '*'), '~', '%7E') || '&voice_prompt=NATF0.pt' AS url
+        FROM conversations WHERE turn = 0""",
     "label_checks": """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'NATURAL_F' ELSE 'VARIETY_M' END || (c_custkey % 4) AS label,
         CAST(c_custkey % 3 <> 0 AS BIGINT) AS is_email FROM customer""",
     "weight_patch": """WITH h AS (SELECT * FROM nation WHERE n_nationkey < 8 OR n_nationkey = 20)

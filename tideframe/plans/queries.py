@@ -640,6 +640,15 @@ def session_links(spark, sf_dir):
     return rows.select("conv_id", url.alias("url"))
 
 
+@query
+def session_urls(spark, sf_dir):
+    """All 11 parameters and the whole first turn; `session_links` is held to its first 12 characters by its SQL."""
+    rows = table(spark, sf_dir, "conversations").where("turn = 0")
+    seed = F.pmod(F.col("conv_id"), F.lit(1_000_001))
+    url = text.session_link(F.lit("wss://host/api/chat"), F.col("text"), F.lit("NATF0.pt"), seed, F.pmod(F.col("conv_id") * 7, F.lit(1_000_001)))
+    return rows.select("conv_id", url.alias("url"))
+
+
 @query
 def label_checks(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
