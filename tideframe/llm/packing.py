@@ -176,10 +176,14 @@ def pack_documents(
     end_id: int = 1,
     limits: Limits = Limits(),
     with_ids: bool = False,
+    loss_col: str | None = None,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+
+    loss_col: how many of a document's last tokens bear loss, the end id included; null, and no column, means all.
+    """
     prepare(docs.sparkSession)
-    source = narrow(docs, doc_id=id_col, text=text_col)
+    source = narrow(docs, doc_id=id_col, text=text_col, **({"loss": loss_col} if loss_col else {}))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = source.schema["doc_id"].dataType
 
@@ -205,9 +209,11 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
         def give(b: pa.RecordBatch) -> Iterator[Placed]:
-            for own, data in zip(b.column(0).to_pylist(), encoder.encode(texts_of(b.column(1))), strict=True):
+            bearing = b.column(2).to_pylist() if loss_col else [None] * b.num_rows
+            for own, data, loss in zip(b.column(0).to_pylist(), encoder.encode(texts_of(b.column(1))), bearing, strict=True):
                 ids = np.append(np.frombuffer(data, encoder.dtype).astype("<u4"), np.array([end_id], "<u4"))
-                yield from packer.add(Example((own, ids), 0, len(ids), len(ids), len(ids)))
+                loss = len(ids) if loss is None else min(max(0, loss), len(ids))
+                yield from packer.add(Example((own, ids), 0, len(ids), len(ids), loss))
 
         for b in batches:
             id_type = b.schema.field(0).type
