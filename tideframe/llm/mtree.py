@@ -127,12 +127,17 @@ class MTree:
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, factor: int) -> DataFrame:
-    """id, vector (floor of factor times each component as double), copy (number among rows of one id)."""
+    """id, vector (floor of factor times each component as double), copy (number among rows of one id).
+
+    A finite component of magnitude 2**31 // factor or more has no exact 32-bit form; it raises an error.
+    """
     rows = narrow(table, id=id_col, v=vector_col)
     rows = rows.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(2**31 // factor)))), F.lit(False))
+    good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    most = 2**31 // factor
+    wide = F.raise_error(F.lit(f"a vector has a component of magnitude {most} or more; scale the vectors")).cast("int")
     rows = rows.where(F.col("id").isNotNull() & good)
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * factor).cast("int")).alias("v"))
+    rows = rows.select("id", F.transform("v", lambda x: F.when(F.abs(x) >= float(most), wide).otherwise(F.floor(x * factor).cast("int"))).alias("v"))
     return rows.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("v")))
 
 
