@@ -38,12 +38,12 @@ def undelay(rows: DataFrame, by: list[str], step: str, value: str, delay_steps:
 
 def shift_to_grid(tokens: DataFrame, dimension: DataFrame, step: str = "step") -> DataFrame:
     """Put each token at its step plus its channel's delay."""
-    return tokens.join(F.broadcast(dimension.select("k", "delay").limit(4096)), "k").withColumn(step, F.col(step) + F.col("delay")).drop("delay")
+    return tokens.join(dimension.select("k", "delay"), "k").withColumn(step, F.col(step) + F.col("delay")).drop("delay")
 
 
 def gather(tokens: DataFrame, dimension: DataFrame, step: str = "step") -> DataFrame:
     """Take each channel's token from its delayed place; warm-up steps have none."""
-    return tokens.join(F.broadcast(dimension.select("k", "delay").limit(4096)), "k").withColumn(step, F.col(step) - F.col("delay")).drop("delay").where(F.col(step) >= 0)
+    return tokens.join(dimension.select("k", "delay"), "k").withColumn(step, F.col(step) - F.col("delay")).drop("delay").where(F.col(step) >= 0)
 
 
 def align_streams(sides: dict[str, DataFrame], by: list[str], index: str) -> DataFrame:

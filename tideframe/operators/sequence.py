@@ -100,4 +100,4 @@ def per_step_weights(rows: DataFrame, weights: DataFrame, pos: str, value: str)
     """Multiply by a weight that depends on the step; steps beyond the table take its last row."""
     last = weights.agg(F.max("step").alias("_last"))
     keyed = rows.crossJoin(F.broadcast(last)).withColumn("step", F.least(F.col(pos), F.col("_last")))  # one row
-    return keyed.join(F.broadcast(weights.limit(4096)), "step").withColumn("y", F.col(value) * F.col("weight")).drop("_last")
+    return keyed.join(weights, "step").withColumn("y", F.col(value) * F.col("weight")).drop("_last")

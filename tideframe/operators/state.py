@@ -84,5 +84,7 @@ def load(spark, path: str) -> tuple[DataFrame, dict]:
     """The state table, and the scalars (a bounded number of them)."""
     import json
 
-    rows = spark.read.schema("key string, json string").json(f"{path}/metadata").limit(100_000).collect()
+    rows = spark.read.schema("key string, json string").json(f"{path}/metadata").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("the metadata has more than 100000 scalars; what is larger belongs into the state table")
     return spark.read.parquet(f"{path}/tensors"), {r["key"]: json.loads(r["json"]) for r in rows}
