@@ -72,8 +72,12 @@ def narrow(df: DataFrame, **wanted: str) -> DataFrame:
     the operators' own names do no harm.
     """
     at = {new: df.columns.index(old) for new, old in wanted.items()}
-    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"_c{i}").alias(new) for new, i in at.items()])
+    return positional(df).select(*[F.col(f"_c{i}").alias(new) for new, i in at.items()])
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """All columns under names of their own, so that clashing ones do no harm; `toDF(*df.columns)` undoes it."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
 def shared_dir(spark: SparkSession) -> str:

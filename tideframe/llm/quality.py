@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, narrow, prepare, raw_texts
+from .common import enter, narrow, positional, prepare, raw_texts
 
 #: Rules in the order of their bits. A rule gets the measurements of a batch as int64 arrays.
 RULES = (
@@ -146,6 +146,7 @@ def keep_good(docs: DataFrame, version: str = "v1", text_col: str = "text") -> D
     """The documents that a policy keeps, with all their columns. One pass, no shuffle."""
     prepare(docs.sparkSession)
     at, mask = docs.columns.index(text_col), POLICIES[version]
+    plain = positional(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("quality")
@@ -153,4 +154,4 @@ def keep_good(docs: DataFrame, version: str = "v1", text_col: str = "text") -> D
             bits = measure_batch(raw_texts(b.column(at)))["failed_bits"]
             yield b.filter(pa.array((bits & mask) == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
