@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tideframe.llm import chat, langid, mtree, packing, pieces, quality, queries, records, simhash, suffix, tokens, urls
+from tideframe.llm import chat, copies, langid, mtree, packing, pieces, quality, queries, records, simhash, suffix, tokens, urls
 from tideframe.llm.common import tokenizer_file
 
 from tests.compare import connect, spark_rows, sql_rows
@@ -75,7 +75,7 @@ def test_pieces_cover_each_start_once():
     for window in (5, 40, 400):
         for _ in range(10):
             t = bytes(rng.choice(b"abc ") for _ in range(rng.randrange(0, 1500)))
-            starts = sorted(x for _, _, lo, n in suffix.pieces(t, window) for x in range(lo, lo + n))
+            starts = sorted(x for _, _, at in suffix.pieces(t, window) for lo, _, n in [suffix.opened(at)] for x in range(lo, lo + n))
             assert starts == list(range(max(0, len(t) - window + 1)))
 
 
@@ -84,7 +84,7 @@ def test_segments_of_a_long_text(spark, monkeypatch):
     rows = [(1, "abcdefghij" * 30), (2, "xy" + "abcdefghij" * 9)]
     texts = [t.encode() for _, t in rows]
     pieces_of = [sorted(suffix.pieces(t, 20)) for t in texts]
-    assert all(sum(p[3] for p in ps) == len(t) - 19 for ps, t in zip(pieces_of, texts, strict=True))
+    assert all(sum(suffix.opened(p[2])[2] for p in ps) == len(t) - 19 for ps, t in zip(pieces_of, texts, strict=True))
 
 
 def test_cutting_keeps_valid_text_and_columns(spark, odd):
@@ -131,8 +131,25 @@ def test_simhash(spark, odd, monkeypatch):
     want = sorted((str(i), f"{fp:016x}", str(comp[k])) for k, ((i, _), fp) in enumerate(zip(odd, fps, strict=True)))
     got = simhash.near_duplicates(docs(spark, odd)).collect()
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
-    kept = simhash.keep_one_of_each(docs(spark, odd))
-    assert kept.count() == len({(comp[k], comp[k] is None and fps[k]) for k in range(len(odd))}) and "rank" in kept.columns
+
+
+def links_of(fp, size, radius, least):
+    home = np.zeros(len(fp), simhash.items_type(1))
+    home["key"], home["fp"], home["size"] = np.arange(len(fp)), fp[:, None], size
+    tree = simhash.VantageTree(fp, size, 16, radius, least)
+    where = dict(tree.route(fp, size, -1))
+    assert sorted(np.concatenate(list(where.values())).tolist()) == list(range(len(fp)))
+    for q, h in simhash.link(home, tree, where, home, radius, 0, least):
+        yield from zip(q.tolist(), h.tolist(), strict=True)
+
+
+def test_sizes_prune_without_loss():
+    rng = np.random.default_rng(9)
+    fp = np.unique(rng.integers(0, 2**63, 500, dtype=np.int64).view(np.uint64))
+    size = rng.integers(0, 60, len(fp))
+    got = {frozenset(p) for p in links_of(fp, size, 30, 0.8)}
+    near = [(a, b) for a in range(len(fp)) for b in range(a) if int(fp[a] ^ fp[b]).bit_count() <= 30 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])]
+    assert got == {frozenset(p) for p in near} and len(got) > 100
 
 
 def test_vantage_search_finds_all_pairs():
@@ -140,7 +157,7 @@ def test_vantage_search_finds_all_pairs():
     base = rng.integers(0, 2**63, 400, dtype=np.int64).view(np.uint64)
     near = base[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
     every = np.unique(np.concatenate([base, near, [np.uint64(0), np.uint64(2**64 - 1)]]))
-    got = {(int(a), int(b)) for q, h in simhash.link(every, every, 4) for a, b in zip(q, h, strict=True)}
+    got = set(links_of(every, np.zeros(len(every), np.int64), 4, None))
     want = {(a, b) for a in range(len(every)) for b in range(len(every)) if a != b and int(every[a] ^ every[b]).bit_count() <= 4}
     assert got == want and len(want) >= 300
 
@@ -404,7 +421,7 @@ def test_empty_tables(spark):
     empty = docs(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string")
     assert suffix.repeated_spans(empty).count() == 0 and suffix.without_repeats(empty).count() == 0
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and copies.keep_one_of_near_copies(empty).count() == 0
     assert quality.quality_ledger(empty).count() == 0 and quality.keep_good(empty).count() == 0
     assert packing.pack_documents(empty).count() == 0 and pieces.encode_pieces(empty).count() == 0
     assert langid.keep_known_language(empty, None).count() == 0 and urls.judge_urls(pages, queries.URL_RULES).count() == 0

@@ -2,11 +2,13 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from tideframe.llm import langid, quality, simhash, suffix
 from tideframe.llm.common import read_table
 from tideframe.llm.tokens import word_encoder
 
-from .test_operators import brute_components, brute_removed, slow_fingerprint
+from .test_operators import brute_removed
+from .test_pipeline_whole import brute_near_copies, brute_passages
 
 
 def test_pipeline_against_brute_force(spark, sf_dir):
@@ -17,11 +19,10 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     ok = langid.predict(model, list(left.values()))[2]
     left = {i: t for (i, t), k in zip(left.items(), ok, strict=True) if k}
     assert len(left) > 0.7 * len(rows)
-    ids = list(left)
-    comp = brute_components([slow_fingerprint(t) for t in left.values()], ids)
-    left = {i: left[i] for k, i in enumerate(ids) if comp[k] == i}
+    left = {i: left[i] for i in sorted(set(brute_near_copies(list(left.values()), list(left))))}
     texts = [t.encode() for t in left.values()]
-    cut = [suffix.cut_out(t, g) if len(t) else "" for t, g in zip(texts, brute_removed(texts, 400), strict=True)]
+    gone = [a | b for a, b in zip(brute_removed(texts, 400), brute_passages(texts, 51), strict=True)]
+    cut = [suffix.cut_out(t, g) if len(t) else "" for t, g in zip(texts, gone, strict=True)]
     encoder = word_encoder("byte_bpe_50k.json")
     want = {i: np.append(np.frombuffer(x, encoder.dtype).astype("<u4"), np.array([1], "<u4")) for i, x in zip(left, encoder.encode(cut), strict=True)}
     got = corpus_pipeline.run(spark, sf_dir).collect()
@@ -33,7 +34,9 @@ def test_pipeline_against_brute_force(spark, sf_dir):
 
 
 def test_stages_keep_the_columns(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").limit(60)
+    docs = read_table(spark, sf_dir, "documents").limit(60).withColumn("x1", F.lit(1)).withColumn("x2", F.lit("b"))
+    docs = docs.toDF(*docs.columns[:-2], "x", "x")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() > 0, name
     assert corpus_pipeline.ORACLE_SQL is None and simhash.RADIUS == 4

@@ -5,10 +5,11 @@
    shards. A node has a vantage point v and a median m. A fingerprint x lives inside if d(x, v) <= m,
    outside otherwise. As a query of radius r it must look inside if d(x, v) - r <= m and outside if
    d(x, v) + r > m: so it visits every shard that its ball overlaps, and no link is lost.
-3. Each shard builds a tree of its own residents and runs its residents and visitors through it in
-   bulk; the last levels compare by XOR and population count.
-4. Links are not returned pair by pair: a shard joins what it links and returns one edge per linked
-   fingerprint. Connected components over these edges come from alternating large-star and
+3. Each block of a shard builds a tree of its residents and runs residents and visitors through it in
+   bulk; the last levels compare by XOR and population count. Residents are bounded by `BLOCK`, and visitors
+   come message by message.
+4. Links are not returned pair by pair: a block joins what a message links and returns one edge per linked
+   item. Connected components over these edges come from alternating large-star and
    small-star steps, with a checkpoint in the shared folder after each round.
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero and are linked like
@@ -30,28 +31,32 @@ from .common import enter, narrow, prepare, raw_texts, scratch, shared_dir
 
 RADIUS = 4
 SAMPLE = 65536
-#: Fingerprints of one shard, about; and of one bucket of a shard's own tree.
+#: Items of one shard, about; of one block of a shard, at most; and of one bucket of a block's own tree.
 SHARD = 1 << 13
+BLOCK = 1 << 16
 BUCKET = 384
-#: Fingerprints that a task packs into one message to a shard, at most.
+#: Items that a task packs into one message to a shard, at most.
 PACK = 1 << 14
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text, repeats included."""
-    words = text.translate(_LOWER).split()
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of `width` words, joined by blanks; of all words if there are fewer; nothing without a word."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     start = np.concatenate([[0], end[:-1] + 1])
     digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
-    h = [digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end[width - 1 :].tolist(), strict=True)]
-    return majority(np.array(h, np.uint64))
+    return np.array([digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text, repeats included."""
+    return majority(shingle_hashes(text.translate(_LOWER).split(), width, seed))
 
 
 def majority(h: np.ndarray) -> int:
@@ -85,62 +90,104 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class VantageTree:
-    """A vantage-point tree down to leaves of about `leaf` of the given points."""
+    """A vantage-point tree down to leaves of about `leaf` of the given points.
 
-    def __init__(self, points: np.ndarray, leaf: int, seed: int = 5, depth: int = 40):
+    A point is a fingerprint and, if `least` is given, the size of a set. A node parts its points by their Hamming
+    distance to a vantage fingerprint, or by their size, which is the distance to the empty set: of the two that
+    which fewer balls overlap. Where nearly every ball overlaps both halves the node stays a leaf unless `force`d.
+    """
+
+    def __init__(self, fp: np.ndarray, size: np.ndarray, leaf: int, radius: int, least: float | None = None, force: bool = True, seed: int = 5):
         self.rng = np.random.default_rng(seed)
-        self.nodes: list[tuple] = []  # (vantage, median, inside, outside) or (None, leaf number, 0, 0)
+        self.radius, self.least, self.force = radius, least, force
+        self.nodes: list[tuple] = []  # (vantage or None, cut, inside, outside), or (None, leaf number, 0, 0)
         self.n_leaves = 0
-        self.root = self._grow(points, leaf, depth)
+        self.root = self._grow(fp, size, leaf, 40)
 
-    def _grow(self, points: np.ndarray, leaf: int, depth: int) -> int:
+    def _grow(self, fp: np.ndarray, size: np.ndarray, leaf: int, depth: int) -> int:
         at = len(self.nodes)
         self.nodes.append(())
-        if len(points) > leaf and depth:
-            v = points[self.rng.integers(len(points))]
-            d = np.bitwise_count(points ^ v).astype(np.int64)
-            # the cut nearest the median that leaves something on both sides
-            m = int(np.median(d))
-            if m >= d.max():
-                m = int(d[d < d.max()].max()) if (d < d.max()).any() else -1
-            if m >= 0:
-                inside = d <= m
-                self.nodes[at] = (v, m, self._grow(points[inside], leaf, depth - 1), self._grow(points[~inside], leaf, depth - 1))
-                return at
-        self.nodes[at] = (None, self.n_leaves, 0, 0)
-        self.n_leaves += 1
+        best = None
+        if len(fp) > leaf and depth:
+            v = fp[self.rng.integers(len(fp))]
+            d = np.bitwise_count(fp ^ v).astype(np.int64)
+            for by, x in ((v, d), (None, size)):
+                m = _middle(x) if by is not None or self.least is not None else None
+                if m is None:
+                    continue
+                go_in, go_out = self._sides(by, m, x, self.radius)
+                both = float((go_in & go_out).mean())
+                if (best is None or both < best[0]) and (self.force or both < 0.75):
+                    best = (both, by, m, x <= m)
+        if best is None:
+            self.nodes[at] = (None, self.n_leaves, 0, 0)
+            self.n_leaves += 1
+            return at
+        _, by, m, inside = best
+        self.nodes[at] = (by, m, self._grow(fp[inside], size[inside], leaf, depth - 1), self._grow(fp[~inside], size[~inside], leaf, depth - 1))
         return at
 
-    def route(self, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each leaf, the positions of the points whose ball of that radius overlaps it."""
-        todo = [(self.root, np.arange(len(points)))]
+    def _sides(self, by, m: int, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which points look inside and which outside. By size, a point looks for those of its size and larger ones."""
+        if by is not None:
+            return x - radius <= m, x + radius > m
+        if radius < 0:  # at home only
+            return x <= m, x > m
+        return x <= m, x / self.least > m
+
+    def route(self, fp: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each leaf, the positions of the points whose ball of that radius overlaps it. Radius -1: their own leaf."""
+        todo = [(self.root, np.arange(len(fp)))]
         while todo:
             at, who = todo.pop()
-            v, m, inside, outside = self.nodes[at]
-            if v is None:
+            by, m, inside, outside = self.nodes[at]
+            if not inside:
                 yield m, who
                 continue
-            d = np.bitwise_count(points[who] ^ v).astype(np.int64)
-            for child, go in ((inside, d - radius <= m), (outside, d + radius > m)):
+            x = size[who] if by is None else np.bitwise_count(fp[who] ^ by).astype(np.int64)
+            for child, go in zip((inside, outside), self._sides(by, m, x, max(radius, 0) if by is not None else radius), strict=True):
                 if go.any():
                     todo.append((child, who[go]))
 
 
-def link(home: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (positions in queries, in home) of different fingerprints within the radius, by bulk tree search."""
-    tree = VantageTree(home, BUCKET)
-    where = dict(tree.route(home, 0))  # with radius 0 a point visits its own leaf alone
-    for leaf, who in tree.route(queries, radius):
+def _middle(x: np.ndarray) -> int | None:
+    """The cut nearest the median that leaves something on both sides."""
+    m = int(np.median(x))
+    if m >= x.max():
+        below = x[x < x.max()]
+        return int(below.max()) if len(below) else None
+    return m
+
+
+def items_type(words: int) -> np.dtype:
+    """What a shard gets of an item: its key, the words of its fingerprint, and its size."""
+    return np.dtype([("key", "<i8"), ("fp", "<u8", (words,)), ("size", "<i8")])
+
+
+def link(home: np.ndarray, tree: VantageTree, where: dict, queries: np.ndarray, radius: int, wide: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions in queries, in home) of different items within the radius, by bulk tree search.
+
+    wide: the radius over all words of the fingerprint, where it has more than one.
+    """
+    first = np.ascontiguousarray(queries["fp"][:, 0])
+    own = np.ascontiguousarray(home["fp"][:, 0])
+    for leaf, who in tree.route(first, queries["size"], radius):
         rows = where.get(leaf)
         if rows is None:
             continue
-        part = home[rows]
-        for at in range(0, len(who), 2048):
-            q = who[at : at + 2048]
-            x = queries[q][:, None] ^ part[None, :]
-            i, j = np.nonzero((np.bitwise_count(x) <= radius) & (x != 0))
-            if len(i):
-                yield q[i], rows[j]
+        part = own[rows]
+        for at in range(0, len(who), max(1, (1 << 19) // len(part))):
+            q = who[at : at + max(1, (1 << 19) // len(part))]
+            i, j = np.nonzero(np.bitwise_count(first[q][:, None] ^ part[None, :]) <= radius)
+            i, j = q[i], rows[j]
+            near = queries["key"][i] != home["key"][j]
+            if home["fp"].shape[1] > 1:
+                near &= np.bitwise_count(queries["fp"][i] ^ home["fp"][j]).sum(1, dtype=np.int64) <= wide
+            if least is not None:
+                a, b = queries["size"][i], home["size"][j]
+                near &= np.minimum(a, b) >= least * np.maximum(a, b)
+            if near.any():
+                yield i[near], j[near]
 
 
 def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -165,63 +212,106 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return find(np.arange(n))
 
 
-def edges(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between linked fingerprints of a table of distinct fp, enough to connect all that are linked."""
+def edges(unique: DataFrame, radius: int = RADIUS, wide: int = 0, least: float | None = None, shard: int = SHARD) -> DataFrame:
+    """Edges (a, b) between keys of linked items, enough to connect all that are linked.
+
+    unique: key, fp (binary, the words of the fingerprint), and with `least` also size; one row per key. Shards
+    are the leaves of a tree that is fitted on SAMPLE items; a leaf with more than BLOCK residents is dealt out in blocks.
+    """
     spark = unique.sparkSession
     n = unique.count()
-    sample = unique.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    points = np.array(sorted(r["fp"] for r in sample), np.int64).view(np.uint64)
-    shards = 1
-    while shards * SHARD < n and shards * 8 <= SAMPLE:
-        shards *= 2
-    tree = VantageTree(points, max(1, -(-len(points) // shards)))
+    size = F.col("size").cast("bigint") if least is not None else F.lit(0).cast("bigint")
+    unique = unique.select("key", "fp", size.alias("size"))
+    sample = unique.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
+    if not sample:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    kind = items_type(len(sample[0]["fp"]) // 8)
+    points = np.frombuffer(b"".join(r["fp"] for r in sample), np.uint64).reshape(len(sample), -1)[:, 0]
+    sizes = np.array([r["size"] for r in sample], np.int64)
+    shards = max(1, min(n // shard + 1, SAMPLE // 8))
+    tree = VantageTree(points, sizes, -(-len(points) // shards), radius, least)
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE nodes
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pack the fingerprints for each shard: residents (role 0) and visitors (role 1)."""
+    def as_items(b: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(b.num_rows, kind)
+        out["key"] = b.column(0).to_numpy()
+        out["fp"] = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+        out["size"] = b.column(2).to_numpy()
+        return out
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         kept: list[np.ndarray] = []
+        for b in batches:
+            if b.num_rows:
+                kept.append(as_items(b))
+            if sum(map(len, kept)) >= PACK:
+                yield np.concatenate(kept)
+                kept = []
+        if kept:
+            yield np.concatenate(kept)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shared.value.n_leaves, np.int64)
+        for x in chunks(batches):
+            for leaf, who in shared.value.route(np.ascontiguousarray(x["fp"][:, 0]), x["size"], -1):
+                total[leaf] += len(who)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["leaf", "n"])
 
-        def pack(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    residents = unique.mapInArrow(count, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect()  # one row per leaf
+    blocks = {r["leaf"]: -(-r["n"] // BLOCK) for r in residents}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pack the items for each block of a shard: residents (role 0) and those that look for them (role 1)."""
+        for x in chunks(batches):
             rows = []
-            for leaf, who in shared.value.route(values, 0):
-                rows.append((leaf, 0, values[who].tobytes()))
-            home = np.empty(len(values), np.int64)
-            for leaf, who in shared.value.route(values, 0):
-                home[who] = leaf
-            for leaf, who in shared.value.route(values, radius):
-                who = who[home[who] != leaf]
-                if len(who):
-                    rows.append((leaf, 1, values[who].tobytes()))
+            first = np.ascontiguousarray(x["fp"][:, 0])
+            for leaf, who in shared.value.route(first, x["size"], -1):
+                block = x["key"][who] % blocks[leaf]
+                rows += [(leaf, k, 0, x[who[block == k]].tobytes()) for k in np.unique(block).tolist()]
+            for leaf, who in shared.value.route(first, x["size"], radius):
+                rows += [(leaf, k, 1, x[who].tobytes()) for k in range(blocks.get(leaf, 0))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-                ["shard", "role", "fps"],
+                [*[pa.array([r[k] for r in rows], pa.int32()) for k in range(3)], pa.array([r[3] for r in rows], pa.binary())],
+                ["leaf", "block", "role", "items"],
             )
 
-        for b in batches:
-            kept.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            if sum(map(len, kept)) >= PACK:
-                yield from pack(np.concatenate(kept))
-                kept = []
-        if kept and sum(map(len, kept)):
-            yield from pack(np.concatenate(kept))
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's residents come first; then one message after another is compared with them."""
         enter("simhash")
-        role = table.column("role").to_numpy()
-        data = [np.frombuffer(x, np.uint64) for x in table.column("fps").to_pylist()]
-        home = np.unique(np.concatenate([d for d, r in zip(data, role, strict=True) if r == 0] or [np.zeros(0, np.uint64)]))
-        away = [d for d, r in zip(data, role, strict=True) if r == 1]
-        everyone = np.concatenate([home, *away])
-        a = np.zeros(0, np.int64)
-        b = a
-        if len(home):
-            top = roots(len(everyone), link(home, everyone, radius))
-            a = np.flatnonzero(top != np.arange(len(everyone)))
-            b = top[a]
-        return pa.table({"a": everyone[a].view(np.int64), "b": everyone[b].view(np.int64)})
-
-    packed = unique.select("fp").mapInArrow(send, "shard int, role int, fps binary")
-    return packed.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+        here, home, kept, tree, where = None, np.zeros(0, kind), [], None, {}
+        for b in batches:
+            for leaf, block, role, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (leaf, block) != here:
+                    here, home, kept, tree = (leaf, block), np.zeros(0, kind), [], None
+                items = np.frombuffer(data, kind)
+                if role == 0:
+                    kept.append(items)
+                    continue
+                if tree is None:
+                    home = np.unique(np.concatenate(kept)) if kept else home
+                    tree = VantageTree(np.ascontiguousarray(home["fp"][:, 0]), home["size"], BUCKET, radius, least, force=False)
+                    where = dict(tree.route(np.ascontiguousarray(home["fp"][:, 0]), home["size"], -1))
+                if not len(home):
+                    continue
+                keys, at = np.unique(np.concatenate([home["key"], items["key"]]), return_inverse=True)
+                mine, theirs = at[: len(home)], at[len(home) :]
+                top = roots(len(keys), ((theirs[i], mine[j]) for i, j in link(home, tree, where, items, radius, wide, least)))
+                a = np.flatnonzero(top != np.arange(len(keys)))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[top[a]])], ["a", "b"])
+
+    packed = unique.mapInArrow(send, "leaf int, block int, role int, items binary")
+    parts = max(8, min(4096, 2 * sum(blocks.values())))  # by number, so that small messages are not gathered into few tasks
+    return packed.repartition(parts, "leaf", "block").sortWithinPartitions("leaf", "block", "role").mapInArrow(search, "a bigint, b bigint")
+
+
+def fresh(name: str) -> Column:
+    """The same long under a partitioning that Spark does not know.
+
+    A join with an aggregate then gets a shuffle of its own on this (small) side, and so adaptive execution
+    may split the other side's partitions where one key holds very many rows.
+    """
+    return F.col(name).bitwiseXOR(F.lit(0).cast("bigint")).alias(name)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,11 +327,11 @@ def components(links: DataFrame) -> DataFrame:
         # large star: every neighbour above a goes to a's smallest neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.select(fresh("a"), "m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: a and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.join(low.select(fresh("a"), "m"), "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
         # done when every node has one edge and no root has an edge of its own
@@ -252,40 +342,34 @@ def components(links: DataFrame) -> DataFrame:
         now = new
 
 
-def labelled_rows(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints' rows, and (fp, root) of the fingerprints that are linked."""
-    spark = docs.sparkSession
-    where = scratch(spark, "fingerprints")
-    fingerprints(docs, id_col, text_col, width).write.parquet(where)  # read again below, 32 bytes a row
-    rows = spark.read.parquet(where)
-    return rows, components(edges(rows.select("fp").distinct(), radius))
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS
 ) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest linked id), n_copies (rows with that fingerprint)."""
-    rows, tops = labelled_rows(docs, id_col, text_col, width, radius)
+    spark = docs.sparkSession
+    where = scratch(spark, "fingerprints")
+    fingerprints(docs, id_col, text_col, width).write.parquet(where)  # read again below, 32 bytes a row
+    rows = spark.read.parquet(where)
     unique = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
-    labelled = unique.join(tops, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "n_copies", "component_id")
-    return rows.join(classes, "fp").select(
+    # the bytes of a long come out in big-endian order; a word's bits keep their distances whatever their order
+    words = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    tops = components(edges(rows.select("fp").distinct().select(F.col("fp").alias("key"), words.alias("fp")), radius))
+    linked = with_roots(tops).join(unique, "fp")
+    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    found = spread(linked, smallest).select("fp", "component_id")
+    classes = unique.join(found, "fp", "left").select("fp", "n_copies", F.coalesce("component_id", "first_id").alias("component_id"))
+    return rows.join(classes.select(fresh("fp"), "n_copies", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies"
     )
 
 
-def keep_one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS
-) -> DataFrame:
-    """One row of each component with all its columns: that of the smallest id, then of the smallest text hash."""
-    rows, tops = labelled_rows(docs, id_col, text_col, width, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
-    unique = rows.groupBy("fp").agg(first)
-    labelled = unique.join(tops, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = labelled.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    at, text = plain[names[docs.columns.index(id_col)]], plain[names[docs.columns.index(text_col)]]
-    kept = plain.select("*", *row_keys(at, text)).join(chosen, ["k1", "k2"], "left_semi")
-    return kept.dropDuplicates(["k1", "k2"]).select(*names).toDF(*docs.columns)
+def with_roots(tops: DataFrame) -> DataFrame:
+    """(fp, root) with the roots themselves."""
+    return tops.unionByName(tops.select(F.col("root").alias("fp"), "root").distinct())
+
+
+def spread(linked: DataFrame, smallest: DataFrame, salts: int = 16) -> DataFrame:
+    """Join on root, where one root may have very many rows: they are dealt out over `salts` copies of its one row."""
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)))
+    copies = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(copies, ["root", "salt"]).drop("salt")

@@ -1,7 +1,9 @@
-"""Exact removal of long repeated byte strings with two-stage suffix sorting.
+"""Exact removal of long repeated strings with two-stage suffix sorting.
 
 A byte is removed if a string of `window` bytes that covers it starts at any other place of the corpus,
-in the same document or in another. Strings never cross documents and are judged on the input.
+in the same document or in another. Strings never cross documents and are judged on the input. The same engine
+finds strings of a number of words that occur again: a text is then read as the string of its words' 32-bit codes
+(words split at ASCII white space; how much of it stands between them does not count).
 
 Sorting every suffix of a corpus in one place is impossible, so the suffixes are dealt out such that equal
 windows always meet:
@@ -9,43 +11,47 @@ windows always meet:
 1. Each window has an anchor, its smallest (leftmost) hashed k-gram. Runs of starts that share an anchor
    and a half of the distances to it form a piece; all windows of a piece contain a common core. Equal
    windows have equal cores, and only pieces whose core occurs again go on.
-2. Equal pieces are aggregated before they are moved; one stands for all, with its number of copies.
+2. Equal pieces are aggregated before they are moved; one stands for all, with its number of copies. A piece that
+   has copies repeats whole. A core of which all pieces are equal is settled by that, without a look at its text.
 3. The pieces of a core are laid out in a block of text. There the suffixes smaller than their successors
    are sorted directly, the others are induced by scanning the buckets of first bytes in order, and
    common prefixes of neighbours tell which windows repeat.
-4. A core with more than `HOT` different pieces (a line or passage that very many documents share) would
-   make one task large. Its windows are dealt out by 128-bit digests of the whole window instead and
-   counted with map-side aggregation: an exact way for the rest of the groups.
+4. A core with more than `HOT` different pieces (a line or passage that very many documents share) is dealt out
+   again by ranges of the distance to the anchor: the windows of a narrower range share a longer core, and equal
+   windows have equal distances, so they still meet. Where the range is one distance, the core is the whole window
+   and all its pieces are equal. So blocks stay small whatever is common, and nothing is dropped.
 
 Defined cases: null text counts as empty; texts shorter than the window lose nothing; a text that occurs
 twice, also as a repeated row, is removed whole if it has `window` bytes; null ids are kept; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored, or kept where the result has the input's columns.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, narrow, on_leave, prepare, raw_texts, scratch
-from .simhash import row_keys
+from .common import enter, narrow, on_leave, positional, prepare, raw_texts, scratch
+from .simhash import fresh, row_keys
 
 WINDOW = 400
-#: Different pieces of one core that are sorted in one block: about 2 MB of text, some seconds of one task.
-HOT = 4096
+#: Different pieces of one core that are sorted in one block: about 140 kB of text.
+HOT = 256
+#: Bytes of a word's code.
+CODE = 4
 #: Starts that one vectorised pass looks at, and bytes of one block that is sorted.
 SEGMENT = 1 << 20
 BLOCK = 1 << 19
 
 _U = np.uint64
+_IN_WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)], np.int8)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -64,17 +70,53 @@ on_leave("suffix", _tables.cache_clear)
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Mixed polynomial hash of the k bytes at every place."""
+    """Mixed polynomial hash of the k units (bytes or codes of words) at every place."""
     word, power, back = _tables()
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum(word[data] * power[: len(data)], out=total[1:])
-    h = (total[k:] - total[:-k]) * back[: len(data) - k + 1]
+    value = word[data] if data.dtype == np.uint8 else data.astype(_U) * _U(0xC2B2AE3D27D4EB4F) | _U(1)
+    np.cumsum(value * power[: len(data)], out=total[1:])
+    return _mix((total[k:] - total[:-k]) * back[: len(data) - k + 1])
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> _U(31)
     h *= _U(0xBF58476D1CE4E5B9)
     h ^= h >> _U(29)
     return h
 
 
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    edge = np.diff(np.concatenate([[0], _IN_WORD[np.frombuffer(text, np.uint8)], [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_codes(text: bytes) -> bytes:
+    """The codes of a text's words, CODE bytes each."""
+    start, end = word_places(text)
+    word, power, back = _tables()
+    data = np.frombuffer(text, np.uint8)
+    out = np.zeros(len(start), _U)
+    first = 0
+    while first < len(start):
+        base = int(start[first])
+        last = max(first + 1, int(np.searchsorted(end, base + len(power), "right")))
+        if end[first] - base > len(power):  # one word that no table reaches over
+            out[first] = xxhash.xxh3_64_intdigest(text[base : end[first]])
+        else:
+            total = np.zeros(int(end[last - 1]) - base + 1, _U)
+            np.cumsum(word[data[base : end[last - 1]]] * power[: len(total) - 1], out=total[1:])
+            lo, hi = start[first:last] - base, end[first:last] - base
+            out[first:last] = _mix((total[hi] - total[lo]) * back[lo])
+        first = last
+    return (out >> _U(32)).astype("<u4").tobytes()
+
+
+def units(text: bytes, words: bool) -> tuple[bytes, int]:
+    """What is searched for repeats, and the number of bytes of one unit of it."""
+    return (word_codes(text), CODE) if words else (text, 1)
+
+
 def leftmost_minimum(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest value of each run of `width` values."""
     n = len(h) - width + 1
@@ -100,12 +142,14 @@ def shape(window: int) -> tuple[int, int]:
     return k, -(-(window - k + 1) // 2)
 
 
-def pieces(text: bytes, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(core, digest, first start, number of starts) of each piece of a text. Each start is in one piece."""
+def pieces(text: bytes, window: int, unit: int = 1) -> Iterator[tuple[int, int, int]]:
+    """(core, digest, place) of each piece of a text; window and places in units. Each start is in one piece."""
     k, part = shape(window)
-    for at in range(0, len(text) - window + 1, SEGMENT):
-        own = text[at : at + SEGMENT + window - 1]
-        anchor = leftmost_minimum(gram_hashes(np.frombuffer(own, np.uint8), k), window - k + 1)
+    data = np.frombuffer(text, np.uint8 if unit == 1 else "<u4")
+    digest = xxhash.xxh3_64_intdigest
+    for at in range(0, len(data) - window + 1, SEGMENT):
+        own = text[at * unit : (at + SEGMENT + window - 1) * unit]
+        anchor = leftmost_minimum(gram_hashes(data[at : at + SEGMENT + window - 1], k), window - k + 1)
         start = np.arange(len(anchor))
         half = (anchor - start) // part
         cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1])) + 1
@@ -114,15 +158,32 @@ def pieces(text: bytes, window: int) -> Iterator[tuple[int, int, int, int]]:
         # all starts of a half are at anchor - part * (half + 1) + 1 ... anchor - part * half
         right = anchor[low] - part * half[low]
         left = np.maximum(right - part + 1, anchor[low] - (window - k))
-        digest = xxhash.xxh3_64_intdigest
-        for lo, n, b, r, m in zip(low.tolist(), count.tolist(), half[low].tolist(), right.tolist(), left.tolist(), strict=True):
-            yield digest(own[r : m + window], b), digest(own[lo : lo + n - 1 + window], 2), at + lo, n
+        place = (low + at) << 32 | (right - low) << 16 | count
+        columns = (half[low], right * unit, (left + window) * unit, low * unit, (low + count - 1 + window) * unit, place)
+        for b, r, m, lo, hi, p in zip(*[c.tolist() for c in columns], strict=True):
+            yield digest(own[r:m], b), digest(own[lo:hi], 2), p
+
+
+def opened(place: int) -> tuple[int, int, int]:
+    """First start, distance from it to the last start that the piece's range could hold, number of starts."""
+    return place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+
+
+def narrower(text: bytes, window: int, unit: int, core: int, place: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """(core, digest, place, offset in the piece) of the parts of a piece by ranges of `width` distances."""
+    lo, reach, n = opened(place)
+    last = lo + reach
+    for q in range((reach - n + 1) // width, reach // width + 1):
+        right = last - q * width
+        a, b = max(lo, right - width + 1), min(lo + n - 1, right)
+        own = xxhash.xxh3_64_intdigest(text[right * unit : (right - width + 1 + window) * unit], core + q & 0xFFFFFFFFFFFFFFFF)
+        yield own, xxhash.xxh3_64_intdigest(text[a * unit : (b + window) * unit], 2), a << 32 | (right - a) << 16 | b - a + 1, a - lo
 
 
 class Block:
-    """Two-stage suffix sorting of the first starts of some strings, by `window` bytes."""
+    """Two-stage suffix sorting of the first starts of some strings, by `window` bytes; only every `unit`th start counts."""
 
-    def __init__(self, strings: list[bytes], starts: list[int], window: int):
+    def __init__(self, strings: list[bytes], starts: list[int], window: int, unit: int = 1):
         self.text = b"".join(strings)
         self.window = window
         t = np.frombuffer(self.text, np.uint8)
@@ -148,6 +209,8 @@ class Block:
         np.add.at(edge, base, 1)
         np.add.at(edge, base + many, -1)
         self.wanted = np.cumsum(edge[:-1]) > 0
+        if unit > 1:  # all strings have whole units, so places count from the block's start
+            self.wanted &= np.arange(n) % unit == 0
         self.base = base
 
     def sort(self) -> np.ndarray:
@@ -217,34 +280,26 @@ def runs(flags: np.ndarray) -> np.ndarray:
     return np.stack([start, np.flatnonzero(edge == -1) - start], axis=1).astype("<i4").ravel()
 
 
-def repeated_in(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """(core, piece, runs) of rows (core, piece, copies, starts, bytes) whose cores are all here whole."""
-    strings, starts, owner = [], [], []
-    for k, (_, _, copies, n, data) in enumerate(rows):
-        for _ in range(min(2, copies)):
-            strings.append(data)
-            starts.append(n)
-            owner.append(k)
-    block = Block(strings, starts, window)
+def repeated_in(rows: list[tuple], window: int, unit: int) -> Iterator[tuple]:
+    """(core, piece, starts, runs) of rows (core, piece, copies, starts, bytes) whose cores are all here whole.
+
+    Runs are None where all starts repeat, as those of a piece with copies do.
+    """
+    block = Block([r[4] for r in rows], [(r[3] - 1) * unit + 1 for r in rows], window * unit, unit)
     found = block.repeated()
-    seen = -1
-    for base, n, k in zip(block.base.tolist(), starts, owner, strict=True):
-        if k != seen and found[base : base + n].any():
-            yield rows[k][0], rows[k][1], runs(found[base : base + n]).tobytes()
-        seen = k
+    for base, (core, piece, copies, n, _) in zip(block.base.tolist(), rows, strict=True):
+        flags = found[base : base + n * unit : unit]
+        if copies > 1 or flags.all():
+            yield core, piece, n, None
+        elif flags.any():
+            yield core, piece, n, runs(flags).tobytes()
 
 
-def fresh(name: str) -> Column:
-    """The same long under a partitioning that Spark does not know.
+def repeated_starts(docs: DataFrame, window: int = WINDOW, words: bool = False) -> DataFrame:
+    """(k1, k2, found) of a table (k1, k2, text); found lists (start, n, runs): of n starts from there, those that repeat.
 
-    A join with an aggregate then gets a shuffle of its own on this (small) side, and so adaptive execution
-    may split the other side's partitions where one key holds very many rows.
+    Starts and the window are in bytes, or in words. runs: see repeated_in.
     """
-    return F.col(name).bitwiseXOR(F.lit(0).cast("bigint")).alias(name)
-
-
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k1, k2, found) of a table (k1, k2, text); found lists (first start, runs of repeated starts in it)."""
     spark = docs.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,228 +309,211 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             keys, rows = [], []
             for i, t in enumerate(raw_texts(b.column(2))):
                 before = len(rows)
-                rows.extend(pieces(t, window))
+                rows.extend(pieces(*_first(t, window, words)))
                 keys.extend([i] * (len(rows) - before))
             if not rows:
                 continue
             core, piece = (np.array([r[k] for r in rows], _U).view(np.int64) for k in (0, 1))
-            at = np.array([r[2] << 16 | r[3] for r in rows], np.int64)
             who = pa.array(keys, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(piece), b.column(0).take(who), b.column(1).take(who), pa.array(at)], names)
+            at = pa.array([r[2] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(piece), b.column(0).take(who), b.column(1).take(who), at], names)
 
     every = docs.mapInArrow(cut, "core bigint, piece bigint, k1 bigint, k2 bigint, at bigint")
     again = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(fresh("core"))
     where = scratch(spark, "pieces")
     every.join(again, "core", "left_semi").write.parquet(where)
     found = spark.read.parquet(where)
-
     kinds = found.groupBy("core", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    verdict = _settle(docs, kinds.select("core", "piece", "copies", "one.*"), window, words, shape(window)[1])
+    verdict = verdict.select(fresh("core"), "piece", "off", "n", "runs")
+    hit = F.struct((F.shiftright("at", 32) + F.col("off")).alias("start"), "n", "runs").alias("hit")
+    return found.join(verdict, ["core", "piece"]).select("k1", "k2", hit).groupBy("k1", "k2").agg(F.collect_set("hit").alias("found"))
+
+
+def _first(text: bytes, window: int, words: bool) -> tuple[bytes, int, int]:
+    data, unit = units(text, words)
+    return data, window, unit
+
+
+def _settle(docs: DataFrame, kinds: DataFrame, window: int, words: bool, width: int) -> DataFrame:
+    """(core, piece, off, n, runs): what repeats of each different piece (core, piece, copies, k1, k2, at) of the cores.
+
+    One piece may have several rows: of its n starts from off on, those of the runs.
+    """
+    spark = docs.sparkSession
     many = kinds.groupBy("core").agg(F.count("*").alias("n_kinds")).select(fresh("core"), "n_kinds")
-    kinds = kinds.join(many, "core").select("core", "piece", "copies", (F.col("n_kinds") > HOT).alias("hot"), "one.*")
+    where = scratch(spark, "kinds")
+    kinds.join(many, "core").write.parquet(where)
+    kinds = spark.read.parquet(where)
+    schema = "core bigint, piece bigint, off int, n int, runs binary"
+    whole = kinds.where("n_kinds = 1").select(
+        "core", "piece", F.lit(0).alias("off"), F.col("at").bitwiseAND(0xFFFF).cast("int").alias("n"), F.lit(None).cast("binary").alias("runs")
+    )
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_texts(some: DataFrame) -> DataFrame:
+        """(k1, k2, text, pieces): each text once, whatever its number of pieces."""
+        lists = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "piece", "copies", "at")).alias("pieces"))
+        return docs.join(lists.select(fresh("k1"), "k2", "pieces"), ["k1", "k2"]).select("k1", "k2", "text", "pieces")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last = None
         for b in batches:
-            at = b.column(3).to_numpy()
-            data = [t[p >> 16 : (p >> 16) + (p & 0xFFFF) - 1 + window] for t, p in zip(raw_texts(b.column(4)), at.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array((at & 0xFFFF).astype(np.int32)), pa.array(data, pa.binary())],
-                ["core", "piece", "copies", "starts", "data"],
-            )
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), b.column(3).to_pylist(), strict=True)
+            for k1, k2, text, own in rows:
+                if (k1, k2) != last:  # rows that occur twice follow each other
+                    last = (k1, k2)
+                    yield k1, k2, *units(text, words), own
 
-    def with_bytes(some: DataFrame) -> DataFrame:
-        joined = docs.join(some.drop("hot"), ["k1", "k2"])
-        return joined.select("core", "piece", "copies", "at", "text").mapInArrow(take, "core bigint, piece bigint, copies bigint, starts int, data binary")
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
+        out: list[tuple] = []
+        for _, _, data, unit, own in each(batches):
+            for p in own:
+                lo, _, n = opened(p["at"])
+                out.append((p["core"], p["piece"], p["copies"], n, data[lo * unit : (lo + n - 1 + window) * unit]))
+            if len(out) >= 4096:
+                yield _batch(out, taken)
+                out = []
+        if out:
+            yield _batch(out, taken)
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole cores are gathered until a block is full; the rows come sorted by core."""
         enter("suffix")
+        unit = CODE if words else 1
         held: list[tuple] = []
         size = 0
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            got = list(repeated_in(rows, window))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())],
-                ["core", "piece", "runs"],
-            )
+            return _batch([(c, p, 0, n, r) for c, p, n, r in repeated_in(rows, window, unit)], sorted_)
 
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and (row[0], row[1]) == held[-1][:2]:
+                if held and row[:2] == held[-1][:2]:
                     continue  # a document row that occurs twice
                 if size >= BLOCK and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) * min(2, row[2])
+                size += len(row[4])
         if held:
             yield flush(held)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            core, piece, copies, off, high, low = [], [], [], [], [], []
-            for c, p, n, m, data in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                for i in range(m):
-                    h = xxhash.xxh3_128_intdigest(data[i : i + window])
-                    core.append(c)
-                    piece.append(p)
-                    copies.append(n)
-                    off.append(i)
-                    high.append(h >> 64)
-                    low.append(h & 0xFFFFFFFFFFFFFFFF)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(core, pa.int64()), pa.array(piece, pa.int64()), pa.array(copies, pa.int64()), pa.array(off, pa.int32()), pa.array(np.array(high, _U).view(np.int64)), pa.array(np.array(low, _U).view(np.int64))],
-                ["core", "piece", "copies", "off", "h1", "h2"],
-            )
-
-    runs_schema = "core bigint, piece bigint, runs binary"
-    usual = with_bytes(kinds.where("not hot")).repartition("core").sortWithinPartitions("core", "piece").mapInArrow(sort_blocks, runs_schema)
-    each = with_bytes(kinds.where("hot")).mapInArrow(windows, "core bigint, piece bigint, copies bigint, off int, h1 bigint, h2 bigint")
-    twice = each.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select(fresh("h1"), fresh("h2"))
-
-    def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = []
-            for offs in b.column(2).to_pylist():
-                flags = np.zeros(max(offs) + 1, bool)
-                flags[offs] = True
-                data.append(runs(flags).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["core", "piece", "runs"])
-
-    hot = each.join(twice, ["h1", "h2"], "left_semi").groupBy("core", "piece").agg(F.collect_set("off").alias("offs")).mapInArrow(to_runs, runs_schema)
-    verdict = usual.unionByName(hot)
-    hits = found.join(verdict, ["core", "piece"]).select("k1", "k2", F.struct(F.shiftright("at", 16).alias("start"), "runs").alias("hit"))
-    return hits.groupBy("k1", "k2").agg(F.collect_list("hit").alias("found"))
+    taken = pa.schema([("core", pa.int64()), ("piece", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+    sorted_ = pa.schema([("core", pa.int64()), ("piece", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("runs", pa.binary())])
+    usual = of_texts(kinds.where(f"n_kinds between 2 and {HOT}")).mapInArrow(take, "core bigint, piece bigint, copies bigint, n int, data binary")
+    verdict = whole.unionByName(usual.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(sort_blocks, schema))
+    hot = kinds.where(f"n_kinds > {HOT}")
+    if hot.isEmpty():
+        return verdict
 
+    finer = max(1, width // 8)
 
-def removed_mask(n: int, found: list | None, window: int, passages: list | None = None) -> np.ndarray:
-    """Which of a text's n bytes are covered by the repeated windows and passages."""
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
+        out: list[tuple] = []
+        for k1, k2, data, unit, own in each(batches):
+            for p in own:
+                for core, piece, at, off in narrower(data, window, unit, p["core"], p["at"], finer):
+                    out.append((p["core"], p["piece"], off, _signed(core), _signed(piece), p["copies"], k1, k2, at))
+            if len(out) >= 4096:
+                yield _batch(out, refined)
+                out = []
+        if out:
+            yield _batch(out, refined)
+
+    names = ["core", "piece", "off", "core2", "piece2", "copies", "k1", "k2", "at"]
+    refined = pa.schema([(n, pa.int32() if n == "off" else pa.int64()) for n in names])
+    where = scratch(spark, "finer")
+    of_texts(hot).mapInArrow(refine, ", ".join(f"{n} {'int' if n == 'off' else 'bigint'}" for n in names)).distinct().write.parquet(where)
+    parts = spark.read.parquet(where)
+    again = parts.groupBy("core2").agg(F.sum("copies").alias("n")).where("n > 1").select(fresh("core2"))
+    parts = parts.join(again, "core2", "left_semi")
+    below = parts.groupBy("core2", "piece2").agg(F.sum("copies").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    below = _settle(docs, below.select(F.col("core2").alias("core"), F.col("piece2").alias("piece"), "copies", "one.*"), window, words, finer)
+    below = below.select(fresh("core").alias("core2"), F.col("piece").alias("piece2"), F.col("off").alias("more"), "n", "runs")
+    up = parts.select("core", "piece", "off", "core2", "piece2").join(below, ["core2", "piece2"])
+    return verdict.unionByName(up.select("core", "piece", (F.col("off") + F.col("more")).alias("off"), "n", "runs"))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def starts_mask(n: int, found: list | None, window: int) -> np.ndarray:
+    """Which of n units are covered by the repeated windows."""
     edge = np.zeros(n + 1, np.int32)
     for hit in found or ():
-        r = np.frombuffer(hit["runs"], "<i4").reshape(-1, 2).astype(np.int64)
+        r = np.array([[0, hit["n"]]]) if hit["runs"] is None else np.frombuffer(hit["runs"], "<i4").reshape(-1, 2).astype(np.int64)
         np.add.at(edge, hit["start"] + r[:, 0], 1)
         np.add.at(edge, hit["start"] + r[:, 0] + r[:, 1] - 1 + window, -1)
-    for hit in passages or ():
-        edge[hit["from"]] += 1
-        edge[hit["to"]] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
-def word_pieces(text: bytes, words: int) -> Iterator[tuple[int, int, int]]:
-    """(core, first start, number of starts) of each piece of a text, in words. Each start is in one piece."""
-    k = max(2, words // 4)
-    part = -(-(words - k + 1) // 2)
-    digest = xxhash.xxh3_64_intdigest
-    item = np.array([digest(w) for w in text.split()], _U)
-    for at in range(0, len(item) - words + 1, SEGMENT):
-        own = item[at : at + SEGMENT + words - 1]
-        data = own.tobytes()
-        grams = np.array([digest(data[8 * i : 8 * (i + k)]) for i in range(len(own) - k + 1)], _U)
-        anchor = leftmost_minimum(grams, words - k + 1)
-        half = (anchor - np.arange(len(anchor))) // part
-        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1])) + 1
-        low = np.concatenate([[0], cut])
-        count = np.diff(np.concatenate([low, [len(anchor)]]))
-        right = anchor[low] - part * half[low]
-        left = np.maximum(right - part + 1, anchor[low] - (words - k))
-        for lo, n, b, r, m in zip(low.tolist(), count.tolist(), half[low].tolist(), right.tolist(), left.tolist(), strict=True):
-            yield digest(data[8 * r : 8 * (m + words)], b), at + lo, n
-
-
-def repeated_passages(docs: DataFrame, words: int) -> DataFrame:
-    """(k1, k2, passages) of a table (k1, k2, text): spans (from, to) in bytes of the strings of that many words that occur again.
-
-    Words are split at ASCII white space, and how much of it stands between them does not count. Pieces are dealt out
-    as those of bytes are; the strings of the cores that occur again meet by 128-bit digests, counted on the map side.
-    """
-    spark = docs.sparkSession
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("suffix")
-        for b in batches:
-            rows = [(i, *r) for i, t in enumerate(raw_texts(b.column(2))) for r in word_pieces(t, words)]
-            if not rows:
-                continue
-            who = pa.array([r[0] for r in rows], pa.int32())
-            core = pa.array(np.array([r[1] for r in rows], _U).view(np.int64))
-            at = pa.array([r[2] << 16 | r[3] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([core, b.column(0).take(who), b.column(1).take(who), at], ["core", "k1", "k2", "at"])
+def passages_mask(text: bytes, found: list | None, words: int) -> np.ndarray:
+    """Which bytes of a text are covered by repeated strings of words, with the white space between these."""
+    edge = np.zeros(len(text) + 1, np.int32)
+    if found:
+        start, end = word_places(text)
+        span = runs(starts_mask(len(start), found, words)).reshape(-1, 2)
+        edge[start[span[:, 0]]] += 1
+        edge[end[span[:, 0] + span[:, 1] - 1]] -= 1
+    return np.cumsum(edge[:-1]) > 0
 
-    every = docs.mapInArrow(cut, "core bigint, k1 bigint, k2 bigint, at bigint")
-    again = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(fresh("core"))
-    some = every.join(again, "core", "left_semi").groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("suffix")
-        names = ["k1", "k2", "from", "to", "h1", "h2"]
-        for b in batches:
-            who, low, high, h1, h2 = [], [], [], [], []
-            for i, (t, at) in enumerate(zip(raw_texts(b.column(2)), b.column(3).to_pylist(), strict=True)):
-                place = [m.span() for m in re.finditer(rb"\S+", t)]
-                data = np.array([xxhash.xxh3_64_intdigest(t[x:y]) for x, y in place], _U).tobytes()
-                for p in at:
-                    for w in range(p >> 16, (p >> 16) + (p & 0xFFFF)):
-                        h = xxhash.xxh3_128_intdigest(data[8 * w : 8 * (w + words)])
-                        who.append(i)
-                        low.append(place[w][0])
-                        high.append(place[w + words - 1][1])
-                        h1.append(h >> 64)
-                        h2.append(h & 0xFFFFFFFFFFFFFFFF)
-            take = pa.array(who, pa.int32())
-            h1, h2 = (pa.array(np.array(h, _U).view(np.int64)) for h in (h1, h2))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(low, pa.int64()), pa.array(high, pa.int64()), h1, h2], names)
-
-    each = docs.join(some, ["k1", "k2"]).select("k1", "k2", "text", "at")
-    where = scratch(spark, "passages")
-    each.mapInArrow(strings, "k1 bigint, k2 bigint, from bigint, to bigint, h1 bigint, h2 bigint").write.parquet(where)
-    each = spark.read.parquet(where)
-    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(fresh("h1"), fresh("h2"))
-    hits = each.join(twice, ["h1", "h2"], "left_semi")
-    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("passages"))
-
-
-def _with_found(docs: DataFrame, id_col: str, text_col: str, window: int, words: int | None = None) -> DataFrame:
-    """All columns under plain names, then `found`, and `passages` if words are given."""
+def _with_found(docs: DataFrame, id_col: str, text_col: str, window: int, words: int | None) -> DataFrame:
+    """All columns under plain names, then `found`, and `passages` (null without words): what repeated_starts lists."""
     prepare(docs.sparkSession)
     keys = narrow(docs, doc_id=id_col, text=text_col)
     keys = keys.select(*row_keys(F.col("doc_id"), F.col("text")), "text")
     spans = repeated_starts(keys, window)
-    more = ["found"]
-    if words is not None:
-        spans = spans.join(repeated_passages(keys, words), ["k1", "k2"], "full")
-        more.append("passages")
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    own = row_keys(plain[names[docs.columns.index(id_col)]], plain[names[docs.columns.index(text_col)]])
-    return plain.select("*", *own).join(spans, ["k1", "k2"], "left").select(*names, *more)
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: the removed runs (start, length)."""
-    joined = _with_found(narrow(docs, doc_id=id_col, text=text_col), "doc_id", "text", window)
+    if words is None:
+        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<start:bigint,n:int,runs:binary>>"))
+    else:
+        spans = spans.join(repeated_starts(keys, words, True).withColumnRenamed("found", "passages"), ["k1", "k2"], "full")
+    plain = positional(docs)
+    own = row_keys(*[plain[f"_c{docs.columns.index(c)}"] for c in (id_col, text_col)])
+    joined = plain.select("*", *own).join(spans.select(fresh("k1"), "k2", "found", "passages"), ["k1", "k2"], "left")
+    return joined.select(*plain.columns, "found", "passages")
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, words: int | None = None
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, length of the removed runs), and of strings of
+    `words` words that occur again, which are not removed: n_passage_bytes, n_passages (maximal runs of these bytes).
+    """
+    joined = _with_found(narrow(docs, doc_id=id_col, text=text_col), "doc_id", "text", window, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("suffix")
         for b in batches:
             out = []
-            for t, found in zip(raw_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for t, found, passages in zip(raw_texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                said = passages_mask(t, passages, words) if passages else np.zeros(0, bool)
+                more = (int(said.sum()), len(runs(said)) // 2)
                 if not found:
-                    out.append((len(t), 0, 0, hashlib.sha256(t).hexdigest(), []))
+                    out.append((len(t), 0, 0, hashlib.sha256(t).hexdigest(), [], *more))
                     continue
-                gone = removed_mask(len(t), found, window)
+                gone = starts_mask(len(t), found, window)
                 span = runs(gone).reshape(-1, 2).tolist()
                 rest = np.frombuffer(t, np.uint8)[~gone].tobytes()
-                out.append((len(t), int(gone.sum()), len(span), hashlib.sha256(rest).hexdigest(), [{"start": s, "length": n} for s, n in span]))
-            cols = [*zip(*out, strict=True)] if out else [()] * 5
-            spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(cols[k], pa.int64()) for k in range(3)], pa.array(cols[3], pa.string()), pa.array(cols[4], spans)],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
-            )
+                out.append((len(t), int(gone.sum()), len(span), hashlib.sha256(rest).hexdigest(), [{"start": s, "length": n} for s, n in span], *more))
+            yield _batch([(i, *r) for i, r in zip(b.column(0).to_pylist(), out, strict=True)], pa.schema([b.schema.field(0).with_name("doc_id"), *schema]))
 
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    schema = [*[pa.field(n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")], pa.field("kept_sha256", pa.string()), pa.field("spans", spans)]
+    schema += [pa.field(n, pa.int64()) for n in ("n_passage_bytes", "n_passages")]
     kind = dict(joined.dtypes)["_c0"]
     return joined.mapInArrow(
-        run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,length:bigint>>"
+        run,
+        f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+        "spans array<struct<start:bigint,length:bigint>>, n_passage_bytes bigint, n_passages bigint",
     )
 
 
@@ -484,7 +522,8 @@ def without_repeats(
 ) -> DataFrame:
     """The documents with the repeated strings cut out of their texts, and size_col brought up to date.
 
-    With `words`, strings of that many words that occur again go too, however few bytes they have. Only whole characters are cut, so that the rest stays valid UTF-8.
+    With `words`, strings of that many words that occur again go too, however few bytes they have. Only whole characters
+    are cut, so that the rest stays valid UTF-8.
     """
     joined = _with_found(docs, id_col, text_col, window, words)
     n_cols = len(docs.columns)
@@ -494,15 +533,15 @@ def without_repeats(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("suffix")
         for b in batches:
-            found = b.column(n_cols).to_pylist()
-            passages = b.column(n_cols + 1).to_pylist() if words is not None else [None] * len(found)
+            found, passages = (b.column(n_cols + k).to_pylist() for k in (0, 1))
             cols = list(b.columns[:n_cols])
             if any(found) or any(passages):
                 texts = b.column(at).to_pylist()
                 sizes = b.column(size_at).to_pylist() if size_at is not None else None
                 for i, (hits, spans) in enumerate(zip(found, passages, strict=True)):
                     if (hits or spans) and texts[i] is not None:
-                        texts[i] = cut_out(texts[i].encode(), removed_mask(len(texts[i].encode()), hits, window, spans))
+                        raw = texts[i].encode()
+                        texts[i] = cut_out(raw, starts_mask(len(raw), hits, window) | passages_mask(raw, spans, words or 0))
                         if sizes is not None:
                             sizes[i] = len(texts[i])
                 cols[at] = pa.array(texts, b.column(at).type)
