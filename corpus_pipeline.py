@@ -1,6 +1,6 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
-quality rules -> language identification -> near-duplicates by shingles -> suffix-array dedup -> packing
+quality rules -> language identification -> SimHash near-duplicates -> suffix-array dedup -> packing
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideframe.llm.common import read_table, scratch
 from tideframe.llm.langid import fit_langid, keep_known_language
-from tideframe.llm.minhash import keep_one_of_near_copies
+from tideframe.llm.copies import keep_one_of_near_copies
 from tideframe.llm.packing import Limits, pack_documents
 from tideframe.llm.quality import keep_good
 from tideframe.llm.suffix import without_repeats
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose five-word shingles are linked by a Jaccard similarity of 0.8 or more."""
+    """One document of each group stays: SimHash neighbours whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     return keep_one_of_near_copies(docs, width=5, least=0.8)
 
 
