@@ -67,7 +67,8 @@ def test_two_stage_sort(alphabet, length, window):
     keys = [block.text[p : p + window] for p in order]
     assert keys == sorted(keys) and len(set(order.tolist())) == len(order) and set(np.flatnonzero(block.wanted)) <= set(order.tolist())
     seen = Counter(block.text[p : p + window] for p in np.flatnonzero(block.wanted))
-    assert all(block.repeated()[p] == (seen[block.text[p : p + window]] > 1) for p in np.flatnonzero(block.wanted))
+    repeated = block.repeated()
+    assert all(repeated[p] == (seen[block.text[p : p + window]] > 1) for p in np.flatnonzero(block.wanted))
 
 
 def test_pieces_cover_each_start_once():
@@ -75,7 +76,7 @@ def test_pieces_cover_each_start_once():
     for window in (5, 40, 400):
         for _ in range(10):
             t = bytes(rng.choice(b"abc ") for _ in range(rng.randrange(0, 1500)))
-            starts = sorted(x for _, _, at in suffix.pieces(t, window) for lo, _, n in [suffix.opened(at)] for x in range(lo, lo + n))
+            starts = sorted(x for _, _, _, at in suffix.pieces([t], window) for p in at.tolist() for lo, _, n in [suffix.opened(p)] for x in range(lo, lo + n))
             assert starts == list(range(max(0, len(t) - window + 1)))
 
 
@@ -83,8 +84,9 @@ def test_segments_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SEGMENT", 64)
     rows = [(1, "abcdefghij" * 30), (2, "xy" + "abcdefghij" * 9)]
     texts = [t.encode() for _, t in rows]
-    pieces_of = [sorted(suffix.pieces(t, 20)) for t in texts]
-    assert all(sum(suffix.opened(p[2])[2] for p in ps) == len(t) - 19 for ps, t in zip(pieces_of, texts, strict=True))
+    for t in texts:
+        starts = sorted(x for _, _, _, at in suffix.pieces([b"", t, b"z" * 19], 20) for p in at.tolist() for lo, _, n in [suffix.opened(p)] for x in range(lo, lo + n))
+        assert starts == list(range(len(t) - 19))
 
 
 def test_cutting_keeps_valid_text_and_columns(spark, odd):

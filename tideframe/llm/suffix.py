@@ -29,7 +29,9 @@ table gives an empty result; extra columns are ignored, or kept where the result
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +48,8 @@ WINDOW = 400
 HOT = 256
 #: Bytes of a word's code.
 CODE = 4
+#: A core is 63 bits and, in front, one that tells strings of words (as a long: negative) from those of bytes.
+LOW, WORDS = (1 << 63) - 1, 1 << 63
 #: Starts that one vectorised pass looks at, and bytes of one block that is sorted.
 SEGMENT = 1 << 20
 BLOCK = 1 << 19
@@ -112,11 +116,6 @@ def word_codes(text: bytes) -> bytes:
     return (out >> _U(32)).astype("<u4").tobytes()
 
 
-def units(text: bytes, words: bool) -> tuple[bytes, int]:
-    """What is searched for repeats, and the number of bytes of one unit of it."""
-    return (word_codes(text), CODE) if words else (text, 1)
-
-
 def leftmost_minimum(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest value of each run of `width` values."""
     n = len(h) - width + 1
@@ -142,26 +141,87 @@ def shape(window: int) -> tuple[int, int]:
     return k, -(-(window - k + 1) // 2)
 
 
-def pieces(text: bytes, window: int, unit: int = 1) -> Iterator[tuple[int, int, int]]:
-    """(core, digest, place) of each piece of a text; window and places in units. Each start is in one piece."""
+def anchors(data: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows of some units, and the first and last start of the windows that each is the anchor of.
+
+    A window's anchor is the leftmost smallest gram of a sample that goes by the hash, or of all grams if none of the
+    sample is in the window. Only where that happens are all grams looked at.
+    """
+    width = window - k + 1
+    h = gram_hashes(data, k)
+    n = len(h) - width + 1
+    sparse = (1 << max(0, (width // 20).bit_length() - 1)) - 1
+    at = np.flatnonzero((h & _U(sparse)) == 0)
+    if len(at) and at[0] < width and at[-1] >= n - 1 and (np.diff(at) <= width).all():
+        value = h[at]
+        before, after = np.full(len(at), -1), np.full(len(at), len(h) + width)
+        for side, found in ((-1, before), (1, after)):
+            open_ = np.arange(len(at))
+            step = 0
+            while len(open_):
+                step += side
+                open_ = open_[(open_ >= -step) if side < 0 else (open_ < len(at) - step)]
+                other = open_ + step
+                near = np.abs(at[open_] - at[other]) < width
+                open_, other = open_[near], other[near]
+                hit = value[other] <= value[open_] if side < 0 else value[other] < value[open_]
+                found[open_[hit]] = at[other[hit]]
+                open_ = open_[~hit]
+        low = np.maximum(np.maximum(at - width + 1, before + 1), 0)
+        high = np.minimum(np.minimum(at, after - width), n - 1)
+        some = low <= high
+        return at[some], low[some], high[some]
+    outside = ((h & _U(sparse)) != 0).astype(_U) << _U(63)
+    anchor = leftmost_minimum(h >> _U(1) | outside, width)
+    cut = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    low = np.concatenate([[0], cut])
+    return anchor[low], low, np.concatenate([cut, [len(anchor)]]) - 1
+
+
+def units(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The units of some texts on end, and where each text's begin and the last's end."""
+    size = np.cumsum([0, *[len(t) + words for t in texts]])
+    if not words:
+        return np.frombuffer(b"".join(texts), np.uint8), size
+    joined = b"\n".join(texts)
+    return np.frombuffer(word_codes(joined), "<u4"), np.searchsorted(word_places(joined)[0], size)
+
+
+def pieces(texts: list[bytes], window: int, words: bool = False) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray]]:
+    """(number of the text, core, digest, place) of the pieces of some texts, many at a time; window and places in units.
+
+    Each start is in one piece.
+    """
     k, part = shape(window)
-    data = np.frombuffer(text, np.uint8 if unit == 1 else "<u4")
+    data, edge = units(texts, words)
+    unit, sign = (CODE, WORDS) if words else (1, 0)
+    raw = memoryview(data).cast("B") if len(data) else b""
     digest = xxhash.xxh3_64_intdigest
-    for at in range(0, len(data) - window + 1, SEGMENT):
-        own = text[at * unit : (at + SEGMENT + window - 1) * unit]
-        anchor = leftmost_minimum(gram_hashes(data[at : at + SEGMENT + window - 1], k), window - k + 1)
-        start = np.arange(len(anchor))
-        half = (anchor - start) // part
-        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (half[1:] != half[:-1])) + 1
-        low = np.concatenate([[0], cut])
-        count = np.diff(np.concatenate([low, [len(anchor)]]))
-        # all starts of a half are at anchor - part * (half + 1) + 1 ... anchor - part * half
-        right = anchor[low] - part * half[low]
-        left = np.maximum(right - part + 1, anchor[low] - (window - k))
-        place = (low + at) << 32 | (right - low) << 16 | count
-        columns = (half[low], right * unit, (left + window) * unit, low * unit, (low + count - 1 + window) * unit, place)
-        for b, r, m, lo, hi, p in zip(*[c.tolist() for c in columns], strict=True):
-            yield digest(own[r:m], b), digest(own[lo:hi], 2), p
+    cuts = [(i, at, lo + at, min(lo + at + SEGMENT + window - 1, hi)) for i, (lo, hi) in enumerate(itertools.pairwise(edge.tolist())) for at in range(0, hi - lo - window + 1, SEGMENT)]
+    while cuts:
+        base = cuts[0][2]
+        many = 1
+        while many < len(cuts) and cuts[many][3] - base <= SEGMENT + (1 << 15) and cuts[many][0] != cuts[many - 1][0]:
+            many += 1
+        now, cuts = np.array(cuts[:many], np.int64), cuts[many:]
+        anchor, first, last = anchors(data[base : now[-1, 3]], k, window)
+        anchor, first, last = anchor + base, first + base, last + base
+        # a window of one text has its anchor in that text
+        of = np.maximum(np.searchsorted(now[:, 2], anchor, "right") - 1, 0)
+        first, last = np.maximum(first, now[of, 2]), np.minimum(last, now[of, 3] - window)
+        for half in (0, 1):
+            # all starts of a half are at anchor - part * (half + 1) + 1 ... anchor - part * half
+            right = anchor - part * half
+            left = np.maximum(right - part + 1, anchor - (window - k))
+            low, high = np.maximum(first, right - part + 1), np.minimum(last, right)
+            some = low <= high
+            right, left, low, high, own = right[some], left[some], low[some], high[some], of[some]
+            place = (low - now[own, 2] + now[own, 1]) << 32 | (right - low) << 16 | high - low + 1
+            columns = (right * unit, (left + window) * unit, low * unit, (high + window) * unit)
+            ends = [c.tolist() for c in columns]
+            core = [digest(raw[r:m], half) & LOW | sign for r, m in zip(ends[0], ends[1], strict=True)]
+            piece = [digest(raw[lo:hi], 2) for lo, hi in zip(ends[2], ends[3], strict=True)]
+            yield now[own, 0], core, piece, place
 
 
 def opened(place: int) -> tuple[int, int, int]:
@@ -177,7 +237,7 @@ def narrower(text: bytes, window: int, unit: int, core: int, place: int, width:
         right = last - q * width
         a, b = max(lo, right - width + 1), min(lo + n - 1, right)
         own = xxhash.xxh3_64_intdigest(text[right * unit : (right - width + 1 + window) * unit], core + q & 0xFFFFFFFFFFFFFFFF)
-        yield own, xxhash.xxh3_64_intdigest(text[a * unit : (b + window) * unit], 2), a << 32 | (right - a) << 16 | b - a + 1, a - lo
+        yield own & LOW | (WORDS if core < 0 else 0), xxhash.xxh3_64_intdigest(text[a * unit : (b + window) * unit], 2), a << 32 | (right - a) << 16 | b - a + 1, a - lo
 
 
 class Block:
@@ -295,10 +355,36 @@ def repeated_in(rows: list[tuple], window: int, unit: int) -> Iterator[tuple]:
             yield core, piece, n, runs(flags).tobytes()
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, words: bool = False) -> DataFrame:
-    """(k1, k2, found) of a table (k1, k2, text); found lists (start, n, runs): of n starts from there, those that repeat.
+@dataclass(frozen=True)
+class Search:
+    """What is looked for: strings of `window` bytes, of `words` words, or both at once."""
+
+    window: int | None = WINDOW
+    words: int | None = None
+
+    def of(self, core: int) -> tuple[int, int]:
+        """Window in units, and bytes of a unit, of a core's strings."""
+        return (self.words, CODE) if core < 0 else (self.window, 1)
+
+
+class Streams:
+    """What a text is searched as: its bytes, and its words' codes where they are asked for."""
+
+    def __init__(self, text: bytes):
+        self.text, self.codes = text, None
+
+    def of(self, core: int) -> bytes:
+        if core >= 0:
+            return self.text
+        if self.codes is None:
+            self.codes = word_codes(self.text)
+        return self.codes
+
 
-    Starts and the window are in bytes, or in words. runs: see repeated_in.
+def repeated_starts(docs: DataFrame, search: Search) -> DataFrame:
+    """(k1, k2, found) of a table (k1, k2, text); found lists (words, start, n, runs): of n starts from there, those that repeat.
+
+    Starts are in bytes, or in words where the flag `words` is set. runs: see repeated_in.
     """
     spark = docs.sparkSession
 
@@ -306,17 +392,12 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, words: bool = False)
         enter("suffix")
         names = ["core", "piece", "k1", "k2", "at"]
         for b in batches:
-            keys, rows = [], []
-            for i, t in enumerate(raw_texts(b.column(2))):
-                before = len(rows)
-                rows.extend(pieces(*_first(t, window, words)))
-                keys.extend([i] * (len(rows) - before))
-            if not rows:
-                continue
-            core, piece = (np.array([r[k] for r in rows], _U).view(np.int64) for k in (0, 1))
-            who = pa.array(keys, pa.int32())
-            at = pa.array([r[2] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(piece), b.column(0).take(who), b.column(1).take(who), at], names)
+            texts = raw_texts(b.column(2))
+            for window, words in ((search.window, False), (search.words, True)):
+                for who, core, piece, at in pieces(texts, window, words) if window is not None else ():
+                    own = pa.array(who)
+                    longs = [pa.array(np.array(x, _U).view(np.int64)) for x in (core, piece)]
+                    yield pa.RecordBatch.from_arrays([*longs, b.column(0).take(own), b.column(1).take(own), pa.array(at)], names)
 
     every = docs.mapInArrow(cut, "core bigint, piece bigint, k1 bigint, k2 bigint, at bigint")
     again = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(fresh("core"))
@@ -324,86 +405,89 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, words: bool = False)
     every.join(again, "core", "left_semi").write.parquet(where)
     found = spark.read.parquet(where)
     kinds = found.groupBy("core", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
-    verdict = _settle(docs, kinds.select("core", "piece", "copies", "one.*"), window, words, shape(window)[1])
+
+    def fetch(some: DataFrame) -> DataFrame:
+        """The strings of pieces: each text once, whatever its number of pieces."""
+        lists = some.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("core", "piece", "copies", "n_kinds", "one.at")).alias("own"))
+        joined = docs.join(lists.select(fresh("k1"), "k2", "own"), ["k1", "k2"]).select("k1", "k2", "text", "own")
+        return joined.mapInArrow(take, STRINGS)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix")
+        out: list[tuple] = []
+        last = None
+        for b in batches:
+            for k1, k2, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
+                if (k1, k2) == last:  # rows that occur twice follow each other
+                    continue
+                last, streams = (k1, k2), Streams(text)
+                for p in own:
+                    lo, reach, n = opened(p["at"])
+                    window, unit = search.of(p["core"])
+                    data = streams.of(p["core"])[lo * unit : (lo + n - 1 + window) * unit]
+                    out.append((p["core"], p["piece"], p["copies"], p["n_kinds"], reach << 16 | n, data))
+                if len(out) >= 4096:
+                    yield _batch(out, _STRINGS)
+                    out = []
+        if out:
+            yield _batch(out, _STRINGS)
+
+    width = max(shape(x)[1] for x in (search.window, search.words) if x is not None)
+    verdict = _settle(kinds, fetch, search, width)
     verdict = verdict.select(fresh("core"), "piece", "off", "n", "runs")
-    hit = F.struct((F.shiftright("at", 32) + F.col("off")).alias("start"), "n", "runs").alias("hit")
+    hit = F.struct((F.col("core") < 0).alias("words"), (F.shiftright("at", 32) + F.col("off")).alias("start"), "n", "runs").alias("hit")
     return found.join(verdict, ["core", "piece"]).select("k1", "k2", hit).groupBy("k1", "k2").agg(F.collect_set("hit").alias("found"))
 
 
-def _first(text: bytes, window: int, words: bool) -> tuple[bytes, int, int]:
-    data, unit = units(text, words)
-    return data, window, unit
+STRINGS = "core bigint, piece bigint, copies bigint, n_kinds bigint, at bigint, data binary"
+_STRINGS = pa.schema([*[(n, pa.int64()) for n in ("core", "piece", "copies", "n_kinds", "at")], ("data", pa.binary())])
+_SORTED = pa.schema([("core", pa.int64()), ("piece", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("runs", pa.binary())])
+_PARTS = pa.schema([(n, pa.int64()) for n in ("core", "piece", "off", "core2", "piece2", "copies", "at")])
 
 
-def _settle(docs: DataFrame, kinds: DataFrame, window: int, words: bool, width: int) -> DataFrame:
-    """(core, piece, off, n, runs): what repeats of each different piece (core, piece, copies, k1, k2, at) of the cores.
+def _settle(kinds: DataFrame, fetch: Callable[[DataFrame], DataFrame], search: Search, width: int) -> DataFrame:
+    """(core, piece, off, n, runs): what repeats of each different piece (core, piece, copies, one) of the cores.
 
-    One piece may have several rows: of its n starts from off on, those of the runs.
+    one: where a piece's string is found, by `fetch`, and its place `at`. One piece may have several rows: of its n
+    starts from off on, those of the runs. width: distances to the anchor that a piece may span.
     """
-    spark = docs.sparkSession
+    spark = kinds.sparkSession
     many = kinds.groupBy("core").agg(F.count("*").alias("n_kinds")).select(fresh("core"), "n_kinds")
     where = scratch(spark, "kinds")
     kinds.join(many, "core").write.parquet(where)
     kinds = spark.read.parquet(where)
-    schema = "core bigint, piece bigint, off int, n int, runs binary"
     whole = kinds.where("n_kinds = 1").select(
-        "core", "piece", F.lit(0).alias("off"), F.col("at").bitwiseAND(0xFFFF).cast("int").alias("n"), F.lit(None).cast("binary").alias("runs")
+        "core", "piece", F.lit(0).alias("off"), F.col("one.at").bitwiseAND(0xFFFF).cast("int").alias("n"), F.lit(None).cast("binary").alias("runs")
     )
-
-    def of_texts(some: DataFrame) -> DataFrame:
-        """(k1, k2, text, pieces): each text once, whatever its number of pieces."""
-        lists = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "piece", "copies", "at")).alias("pieces"))
-        return docs.join(lists.select(fresh("k1"), "k2", "pieces"), ["k1", "k2"]).select("k1", "k2", "text", "pieces")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        last = None
-        for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), b.column(3).to_pylist(), strict=True)
-            for k1, k2, text, own in rows:
-                if (k1, k2) != last:  # rows that occur twice follow each other
-                    last = (k1, k2)
-                    yield k1, k2, *units(text, words), own
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("suffix")
-        out: list[tuple] = []
-        for _, _, data, unit, own in each(batches):
-            for p in own:
-                lo, _, n = opened(p["at"])
-                out.append((p["core"], p["piece"], p["copies"], n, data[lo * unit : (lo + n - 1 + window) * unit]))
-            if len(out) >= 4096:
-                yield _batch(out, taken)
-                out = []
-        if out:
-            yield _batch(out, taken)
+    where = scratch(spark, "strings")
+    fetch(kinds.where("n_kinds > 1")).write.parquet(where)
+    strings = spark.read.parquet(where)
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole cores are gathered until a block is full; the rows come sorted by core."""
+        """Whole cores of one kind of string are gathered until a block is full; the rows come sorted by core."""
         enter("suffix")
-        unit = CODE if words else 1
         held: list[tuple] = []
         size = 0
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            return _batch([(c, p, 0, n, r) for c, p, n, r in repeated_in(rows, window, unit)], sorted_)
+            return _batch([(c, p, 0, n, r) for c, p, n, r in repeated_in(rows, *search.of(rows[0][0]))], _SORTED)
 
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and row[:2] == held[-1][:2]:
+            for core, piece, copies, place, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and (core, piece) == held[-1][:2]:
                     continue  # a document row that occurs twice
-                if size >= BLOCK and row[0] != held[-1][0]:
+                if held and ((size >= BLOCK and core != held[-1][0]) or (core < 0) != (held[-1][0] < 0)):
                     yield flush(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                held.append((core, piece, copies, place & 0xFFFF, data))
+                size += len(data)
         if held:
             yield flush(held)
 
-    taken = pa.schema([("core", pa.int64()), ("piece", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
-    sorted_ = pa.schema([("core", pa.int64()), ("piece", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("runs", pa.binary())])
-    usual = of_texts(kinds.where(f"n_kinds between 2 and {HOT}")).mapInArrow(take, "core bigint, piece bigint, copies bigint, n int, data binary")
-    verdict = whole.unionByName(usual.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(sort_blocks, schema))
-    hot = kinds.where(f"n_kinds > {HOT}")
+    usual = strings.where(f"n_kinds <= {HOT}").select("core", "piece", "copies", "at", "data")
+    usual = usual.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(sort_blocks, "core bigint, piece bigint, off int, n int, runs binary")
+    verdict = whole.unionByName(usual)
+    hot = strings.where(f"n_kinds > {HOT}")
     if hot.isEmpty():
         return verdict
 
@@ -411,29 +495,39 @@ def _settle(docs: DataFrame, kinds: DataFrame, window: int, words: bool, width:
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("suffix")
-        out: list[tuple] = []
-        for k1, k2, data, unit, own in each(batches):
-            for p in own:
-                for core, piece, at, off in narrower(data, window, unit, p["core"], p["at"], finer):
-                    out.append((p["core"], p["piece"], off, _signed(core), _signed(piece), p["copies"], k1, k2, at))
-            if len(out) >= 4096:
-                yield _batch(out, refined)
-                out = []
-        if out:
-            yield _batch(out, refined)
+        for b in batches:
+            out = []
+            for core, piece, copies, _, place, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for core2, piece2, at, off in narrower(data, *search.of(core), core, place, finer):
+                    out.append((core, piece, off, _signed(core2), _signed(piece2), copies, at))
+            yield _batch(out, _PARTS)
 
-    names = ["core", "piece", "off", "core2", "piece2", "copies", "k1", "k2", "at"]
-    refined = pa.schema([(n, pa.int32() if n == "off" else pa.int64()) for n in names])
-    where = scratch(spark, "finer")
-    of_texts(hot).mapInArrow(refine, ", ".join(f"{n} {'int' if n == 'off' else 'bigint'}" for n in names)).distinct().write.parquet(where)
+    where = scratch(spark, "parts")
+    hot.mapInArrow(refine, ", ".join(f"{n} bigint" for n in _PARTS.names)).distinct().write.parquet(where)
     parts = spark.read.parquet(where)
     again = parts.groupBy("core2").agg(F.sum("copies").alias("n")).where("n > 1").select(fresh("core2"))
     parts = parts.join(again, "core2", "left_semi")
-    below = parts.groupBy("core2", "piece2").agg(F.sum("copies").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
-    below = _settle(docs, below.select(F.col("core2").alias("core"), F.col("piece2").alias("piece"), "copies", "one.*"), window, words, finer)
+    below = parts.groupBy("core2", "piece2").agg(F.sum("copies").alias("copies"), F.min(F.struct(F.col("core").alias("of"), F.col("piece").alias("ofp"), "off", "at")).alias("one"))
+    below = below.select(F.col("core2").alias("core"), F.col("piece2").alias("piece"), "copies", "one")
+
+    def slices(some: DataFrame) -> DataFrame:
+        wanted = some.select("core", "piece", "copies", "n_kinds", "one.*")
+        held = hot.select(fresh("core").alias("of"), F.col("piece").alias("ofp"), "data")
+        return wanted.join(held, ["of", "ofp"]).select("core", "piece", "copies", "n_kinds", "at", "off", "data").mapInArrow(slice_, STRINGS)
+
+    def slice_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for core, piece, copies, n_kinds, place, off, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                window, unit = search.of(core)
+                n = place & 0xFFFF
+                out.append((core, piece, copies, n_kinds, place & 0xFFFFFFFF, data[off * unit : (off + n - 1 + window) * unit]))
+            yield _batch(out, _STRINGS)
+
+    below = _settle(below, slices, search, finer)
     below = below.select(fresh("core").alias("core2"), F.col("piece").alias("piece2"), F.col("off").alias("more"), "n", "runs")
     up = parts.select("core", "piece", "off", "core2", "piece2").join(below, ["core2", "piece2"])
-    return verdict.unionByName(up.select("core", "piece", (F.col("off") + F.col("more")).alias("off"), "n", "runs"))
+    return verdict.unionByName(up.select("core", "piece", (F.col("off") + F.col("more")).cast("int").alias("off"), "n", "runs"))
 
 
 def _signed(x: int) -> int:
@@ -445,41 +539,57 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def starts_mask(n: int, found: list | None, window: int) -> np.ndarray:
-    """Which of n units are covered by the repeated windows."""
-    edge = np.zeros(n + 1, np.int32)
-    for hit in found or ():
-        r = np.array([[0, hit["n"]]]) if hit["runs"] is None else np.frombuffer(hit["runs"], "<i4").reshape(-1, 2).astype(np.int64)
-        np.add.at(edge, hit["start"] + r[:, 0], 1)
-        np.add.at(edge, hit["start"] + r[:, 0] + r[:, 1] - 1 + window, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def passages_mask(text: bytes, found: list | None, words: int) -> np.ndarray:
-    """Which bytes of a text are covered by repeated strings of words, with the white space between these."""
-    edge = np.zeros(len(text) + 1, np.int32)
-    if found:
-        start, end = word_places(text)
-        span = runs(starts_mask(len(start), found, words)).reshape(-1, 2)
-        edge[start[span[:, 0]]] += 1
-        edge[end[span[:, 0] + span[:, 1] - 1]] -= 1
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _with_found(docs: DataFrame, id_col: str, text_col: str, window: int, words: int | None) -> DataFrame:
-    """All columns under plain names, then `found`, and `passages` (null without words): what repeated_starts lists."""
+class Found:
+    """A batch's column of what repeated_starts lists, by row."""
+
+    def __init__(self, column: pa.Array, search: Search):
+        self.search = search
+        self.edge = column.offsets.to_numpy()
+        self.any = np.diff(self.edge) * np.asarray(column.is_valid()) > 0
+        hit = column.values
+        self.words, self.start, self.n = (hit.field(k).to_numpy(zero_copy_only=False) for k in ("words", "start", "n"))
+        self.runs = hit.field("runs")
+        self.part = np.asarray(self.runs.is_valid())
+
+    def starts(self, row: int, words: bool, size: int) -> np.ndarray:
+        """Which of a row's units are covered by the strings that repeat."""
+        window = self.search.words if words else self.search.window
+        own = slice(self.edge[row], self.edge[row + 1])
+        mine = self.words[own] == words
+        low, n, part = self.start[own][mine], self.n[own][mine].astype(np.int64), self.part[own][mine]
+        edge = np.zeros(size + 1, np.int32)
+        np.add.at(edge, low[~part], 1)
+        np.add.at(edge, (low + n)[~part] - 1 + window, -1)
+        for k in (np.flatnonzero(mine)[part] + self.edge[row]).tolist():
+            r = np.frombuffer(self.runs[k].as_buffer(), "<i4").reshape(-1, 2).astype(np.int64)
+            np.add.at(edge, self.start[k] + r[:, 0], 1)
+            np.add.at(edge, self.start[k] + r[:, 0] + r[:, 1] - 1 + window, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def bytes(self, row: int, text: bytes) -> np.ndarray:
+        """Bytes covered by repeated strings of bytes."""
+        return self.starts(row, False, len(text))
+
+    def passages(self, row: int, text: bytes) -> np.ndarray:
+        """Bytes covered by repeated strings of words, with the white space between these."""
+        edge = np.zeros(len(text) + 1, np.int32)
+        if self.words[self.edge[row] : self.edge[row + 1]].any():
+            start, end = word_places(text)
+            span = runs(self.starts(row, True, len(start))).reshape(-1, 2)
+            edge[start[span[:, 0]]] += 1
+            edge[end[span[:, 0] + span[:, 1] - 1]] -= 1
+        return np.cumsum(edge[:-1]) > 0
+
+
+def _with_found(docs: DataFrame, id_col: str, text_col: str, search: Search) -> DataFrame:
+    """All columns under plain names, then `found`: what repeated_starts lists."""
     prepare(docs.sparkSession)
     keys = narrow(docs, doc_id=id_col, text=text_col)
-    keys = keys.select(*row_keys(F.col("doc_id"), F.col("text")), "text")
-    spans = repeated_starts(keys, window)
-    if words is None:
-        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<start:bigint,n:int,runs:binary>>"))
-    else:
-        spans = spans.join(repeated_starts(keys, words, True).withColumnRenamed("found", "passages"), ["k1", "k2"], "full")
+    spans = repeated_starts(keys.select(*row_keys(F.col("doc_id"), F.col("text")), "text"), search)
     plain = positional(docs)
     own = row_keys(*[plain[f"_c{docs.columns.index(c)}"] for c in (id_col, text_col)])
-    joined = plain.select("*", *own).join(spans.select(fresh("k1"), "k2", "found", "passages"), ["k1", "k2"], "left")
-    return joined.select(*plain.columns, "found", "passages")
+    joined = plain.select("*", *own).join(spans.select(fresh("k1"), "k2", "found"), ["k1", "k2"], "left")
+    return joined.select(*plain.columns, "found")
 
 
 def repeated_spans(
@@ -488,19 +598,21 @@ def repeated_spans(
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, length of the removed runs), and of strings of
     `words` words that occur again, which are not removed: n_passage_bytes, n_passages (maximal runs of these bytes).
     """
-    joined = _with_found(narrow(docs, doc_id=id_col, text=text_col), "doc_id", "text", window, words)
+    search = Search(window, words)
+    joined = _with_found(narrow(docs, doc_id=id_col, text=text_col), "doc_id", "text", search)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("suffix")
         for b in batches:
             out = []
-            for t, found, passages in zip(raw_texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                said = passages_mask(t, passages, words) if passages else np.zeros(0, bool)
-                more = (int(said.sum()), len(runs(said)) // 2)
-                if not found:
-                    out.append((len(t), 0, 0, hashlib.sha256(t).hexdigest(), [], *more))
+            found = Found(b.column(2), search)
+            for i, t in enumerate(raw_texts(b.column(1))):
+                if not found.any[i]:
+                    out.append((len(t), 0, 0, hashlib.sha256(t).hexdigest(), [], 0, 0))
                     continue
-                gone = starts_mask(len(t), found, window)
+                said = found.passages(i, t)
+                more = (int(said.sum()), len(runs(said)) // 2)
+                gone = found.bytes(i, t)
                 span = runs(gone).reshape(-1, 2).tolist()
                 rest = np.frombuffer(t, np.uint8)[~gone].tobytes()
                 out.append((len(t), int(gone.sum()), len(span), hashlib.sha256(rest).hexdigest(), [{"start": s, "length": n} for s, n in span], *more))
@@ -525,7 +637,8 @@ def without_repeats(
     With `words`, strings of that many words that occur again go too, however few bytes they have. Only whole characters
     are cut, so that the rest stays valid UTF-8.
     """
-    joined = _with_found(docs, id_col, text_col, window, words)
+    search = Search(window, words)
+    joined = _with_found(docs, id_col, text_col, search)
     n_cols = len(docs.columns)
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
@@ -533,15 +646,15 @@ def without_repeats(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("suffix")
         for b in batches:
-            found, passages = (b.column(n_cols + k).to_pylist() for k in (0, 1))
+            found = Found(b.column(n_cols), search)
             cols = list(b.columns[:n_cols])
-            if any(found) or any(passages):
+            if found.any.any():
                 texts = b.column(at).to_pylist()
                 sizes = b.column(size_at).to_pylist() if size_at is not None else None
-                for i, (hits, spans) in enumerate(zip(found, passages, strict=True)):
-                    if (hits or spans) and texts[i] is not None:
+                for i in np.flatnonzero(found.any).tolist():
+                    if texts[i] is not None:
                         raw = texts[i].encode()
-                        texts[i] = cut_out(raw, starts_mask(len(raw), hits, window) | passages_mask(raw, spans, words or 0))
+                        texts[i] = cut_out(raw, found.bytes(i, raw) | found.passages(i, raw))
                         if sizes is not None:
                             sizes[i] = len(texts[i])
                 cols[at] = pa.array(texts, b.column(at).type)
@@ -549,7 +662,7 @@ def without_repeats(
                     cols[size_at] = pa.array(sizes, b.column(size_at).type)
             yield pa.RecordBatch.from_arrays(cols, list(b.schema.names[:n_cols]))
 
-    plain = joined.drop("found", "passages")
+    plain = joined.drop("found")
     return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
