@@ -430,3 +430,20 @@ def test_empty_tables(spark):
     assert records.scan_records(spark, records.write_records(empty, records.new_folder(spark))).count() == 0
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert chat.read_chats(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_roles_with_odd_characters_come_back(spark):
+    roles = ["a\x00b", "a\\b", "a\\nb", "a\nb", "\\\\n", "<|im_end|>\n", "\\", ""]
+    rows = [(1, k, r, f"t{k}") for k, r in enumerate(roles)] + [(2, k, "assistant" if k % 3 else "user", f"<|im_sep|>{k}") for k in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(turns)).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [(r, f"t{k}") for k, r in enumerate(roles)]
+    assert got[2]["loss_text"] == "".join(f"<|im_sep|>{k}" for k in range(3000) if k % 3) and len(got[2]["turns"]) == 3000
+
+
+def test_rules_on_lines_and_words():
+    bits = lambda t: quality.measure_batch([t.encode()])["failed_bits"][0]
+    assert bits("- a b\n* c\n• d") & quality.BIT["bullets"] and not bits("- a b\nc\nd") & quality.BIT["bullets"]
+    assert bits("one…\ntwo...\nthree") & quality.BIT["ellipses"] and bits("12 34 5.6 ab") & quality.BIT["no_letters"]
+    assert bits("") == quality.BIT["few_words"] | quality.BIT["no_words"] and not bits("zwölf kurze Wörter") & quality.POLICIES["v3"]
+    assert bits("the " * 30 + " ".join(f"w{k}" for k in range(40))) & quality.BIT["top_words"]

@@ -14,8 +14,8 @@ from .test_pipeline_whole import brute_near_copies, brute_passages
 def test_pipeline_against_brute_force(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    left = {i: t for i, t in rows.items() if not quality.measure_batch([t.encode()])["failed_bits"][0] & quality.POLICIES["v1"]}
-    model = langid.fit_langid(quality.keep_good(docs))
+    left = {i: t for i, t in rows.items() if not quality.measure_batch([t.encode()])["failed_bits"][0] & quality.POLICIES["v3"]}
+    model = langid.fit_langid(quality.keep_good(docs, "v3"))
     ok = langid.predict(model, list(left.values()))[2]
     left = {i: t for (i, t), k in zip(left.items(), ok, strict=True) if k}
     assert len(left) > 0.7 * len(rows)

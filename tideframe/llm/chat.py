@@ -14,12 +14,13 @@ neither headers nor control strings.
 
 Defined cases: null texts and roles count as empty; rows that share conversation and turn are ordered by
 role and text; turns that are null come first; rows of a null conversation form one conversation; an empty
-table gives an empty result; extra columns are ignored. A conversation is one value of one row.
+table gives an empty result; extra columns are ignored. A conversation is one value of one row, so
+its formatted text is bounded by what a row holds (2 GB).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import narrow
@@ -36,13 +37,14 @@ def unescape(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    """A role ends at the first line feed, so those inside it are written out."""
+    """A role ends at the first line feed, so those inside it are written as a backslash and n, and backslashes twice."""
     return escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(c: Column) -> Column:
-    marked = F.replace(unescape(c), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """Between pairs of backslashes, a backslash and n is a line feed; no stand-in for the pairs is needed."""
+    lines = F.transform(F.split(unescape(c), r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(lines, "\\")
 
 
 def format_chats(
@@ -56,35 +58,29 @@ def format_chats(
     """conv_id, formatted, and loss_mask (array of start and length, in characters from 0)."""
     rows = narrow(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+
+    def head(role: Column, before: Column, first: Column) -> Column:
+        """What comes before a turn's text: a new header, or a separator where the role goes on."""
+        header = F.concat(F.when(first, F.lit("")).otherwise(F.lit(END + "\n")), F.lit(START), escape_role(role), F.lit("\n"))
+        return F.when(first | (before != role), header).otherwise(F.lit(SEP))
+
+    # the start of a turn's text is a running sum, so a long conversation costs no more a turn than a short one
+    before = F.lag("role").over(in_order)
+    rows = rows.withColumn("lead", F.length(head(F.col("role"), before, before.isNull())))
+    rows = rows.withColumn("size", F.col("lead") + F.length(escape(F.col("text"))))
+    done = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("at", (done - F.col("size") + F.col("lead")).cast("int"))
+    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at"))).alias("t"))
 
     def part(x: Column, i: Column) -> Column:
-        """What a turn adds: a new header, or a separator where the role goes on."""
         before = F.get(F.col("t"), i - 1)
-        fresh = (i == 0) | (before["role"] != x["role"])
-        header = F.concat(F.when(i == 0, F.lit("")).otherwise(F.lit(END + "\n")), F.lit(START), escape_role(x["role"]), F.lit("\n"))
-        return F.struct(F.when(fresh, header).otherwise(F.lit(SEP)).alias("head"), escape(x["text"]).alias("body"), (x["role"] == loss_role).alias("loss"))
-
-    parts = sorted_turns.select("conv_id", F.transform("t", part).alias("p"))
-    spans = F.aggregate(
-        "p",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["head"]) + F.length(x["body"])).alias("at"),
-            F.when(
-                x["loss"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + F.length(x["head"])).alias("start"), F.length(x["body"]).alias("length"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    body = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"])), "")
-    return parts.select("conv_id", F.concat(body, F.lit(END + "\n")).alias("formatted"), spans.alias("loss_mask"))
+        return F.concat(head(x["role"], before["role"], i == 0), escape(x["text"]))
+
+    spoken = F.filter("t", lambda x: x["role"] == loss_role)
+    spans = F.transform(spoken, lambda x: F.struct(x["at"].alias("start"), F.length(escape(x["text"])).alias("length")))
+    body = F.array_join(F.transform("t", part), "")
+    return sorted_turns.select("conv_id", F.concat(body, F.lit(END + "\n")).alias("formatted"), spans.alias("loss_mask"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ class MTree:
 
     def __init__(self, vectors: np.ndarray, bound: float, page: int = PAGE, seed: int = 3):
         self.vectors = vectors
+        self.reach = float(np.sqrt(bound))
         rest = np.sqrt(np.maximum(bound - (vectors.astype(np.float64) ** 2).sum(1), 0.0))
         self.points = np.concatenate([vectors.astype(np.float64), rest[:, None]], axis=1)
         self.rng = np.random.default_rng(seed)
@@ -88,7 +89,7 @@ class MTree:
         best: list[tuple[int, int, int]] = []  # a heap of (score, -id, position); its top is the worst kept
         limit, computed = np.inf, 0
         queue: list[tuple[float, int, float]] = [(0.0, self.root, -1.0)] if self.root >= 0 else []
-        margin = 1e-6 * (1.0 + float(np.sqrt((q * q).sum())))
+        margin = 1e-6 * (1.0 + float(np.sqrt((q * q).sum())) + self.reach)
         while queue:
             low, page, d_parent = heapq.heappop(queue)
             if low > limit:

@@ -11,6 +11,8 @@ whole. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +29,40 @@ RULES = (
     ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
     ("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    ("no_words", lambda m: m["n_words"] == 0),
+    ("bullets", lambda m: 10 * m["n_bullet_lines"] > 9 * m["n_lines"]),
+    ("ellipses", lambda m: 10 * m["n_ellipsis_lines"] > 3 * m["n_lines"]),
+    ("no_letters", lambda m: 10 * m["n_letter_words"] < 7 * m["n_words"]),
+    ("top_words", lambda m: (m["n_words"] >= 50) & (100 * m["top_word"] > 30 * m["n_words"])),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
+_V1 = BASE | BIT["symbols"] | BIT["repeated_lines"] | BIT["word_length"]
+_LINES = BIT["bullets"] | BIT["ellipses"] | BIT["no_letters"] | BIT["top_words"]
 
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES = {
     "base": BASE,
-    "v1": BASE | BIT["symbols"] | BIT["repeated_lines"] | BIT["word_length"],
+    "v1": _V1,
+    # v2: and the rules on kinds of lines and words
+    "v2": _V1 | _LINES,
+    # v3: as v2, but a short text is no bad one; only an empty text goes for its length
+    "v3": (_V1 | _LINES | BIT["no_words"]) & ~BIT["few_words"],
 }
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
+    "n_bullet_lines", "n_ellipsis_lines", "n_letter_words", "top_word",
+)
+#: What a bullet line begins with, and what a line that breaks off ends with.
+BULLETS = ("\u2022", "-", "*")
+ELLIPSES = ("...", "\u2026")
 _SYMBOLS = b"#*$%&|<>"
 _OTHER_BYTES = bytes(b for b in range(256) if b not in _SYMBOLS)
 #: Bytes that carry no code point of a word: ASCII white space and UTF-8 continuation bytes.
+_BULLETS, _ELLIPSES = (tuple(x.encode() for x in xs) for xs in (BULLETS, ELLIPSES))
+#: A word with an ASCII letter or a byte beyond ASCII counts as one with letters.
+_LETTERLESS = re.compile(rb"(?<![^ \t-\r])[^A-Za-z\x80-\xff \t-\r]+(?![^ \t-\r])")
 _NOT_COUNTED = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])
 
 
@@ -73,6 +95,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     """Measurements of one text, in the order of MEASURES."""
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.split()] if b"\n" in text else [text] * bool(words)
+    bare = [x.strip() for x in lines]
     return (
         len(words),
         len(text.translate(None, _NOT_COUNTED)),
@@ -80,6 +103,10 @@ def measure(text: bytes) -> tuple[int, ...]:
         len(lines),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        sum([x.startswith(_BULLETS) for x in bare]),
+        sum([x.endswith(_ELLIPSES) for x in bare]),
+        len(words) - len(_LETTERLESS.findall(text)),
+        max(Counter(words).values()) if words else 0,
     )
 
 

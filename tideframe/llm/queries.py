@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from .langid import detect_languages, fit_langid, fold
 from .mtree import top_k
 from .packing import Limits, pack_documents
 from .pieces import encode_pieces
-from .quality import apply_policy, quality_ledger
+from .quality import BIT, POLICIES, ablation, apply_policy, quality_ledger
 from .records import new_folder, scan_records, write_records
 from .simhash import near_duplicates
 from .suffix import repeated_spans
@@ -64,6 +65,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does alone and together, by bitwise aggregation of one ledger."""
+    ledger = quality_ledger(read_table(spark, sf_dir, "documents"))
+    out = [ablation(ledger, version).select(F.lit(version).alias("policy"), "*") for version in POLICIES]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = detect_languages(docs, fit_langid(docs))
@@ -110,7 +118,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 OP6_SQL = r"""
 WITH u AS (
-    SELECT page_id,
+    SELECT row_number() OVER () AS row, page_id,
            translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
     FROM pages
@@ -119,7 +127,7 @@ WITH u AS (
            ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), m AS (
     SELECT u.*, rules.verdict, rhost || rpath AS rule,
-           row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost) DESC NULLS LAST, length(rpath) DESC) AS n
+           row_number() OVER (PARTITION BY row ORDER BY length(rhost) DESC NULLS LAST, length(rpath) DESC) AS n
     FROM u LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
@@ -156,6 +164,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_LEDGER_SQL = OP8_SQL.split("), b AS (")[0]
+_ABLATION_RULES = {
+    "few_words": "n_words < 50",
+    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+    "no_words": "n_words = 0",
+    "bullets": "10 * n_bullet_lines > 9 * n_lines",
+    "ellipses": "10 * n_ellipsis_lines > 3 * n_lines",
+    "no_letters": "10 * n_letter_words < 7 * n_words",
+    "top_words": "n_words >= 50 AND 100 * top_word > 30 * n_words",
+}
+ABLATION_SQL = (
+    _LEDGER_SQL
+    + r"""
+), bare AS (
+    SELECT doc_id, trim(l, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS l
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), marks AS (
+    SELECT doc_id, count(*) FILTER (starts_with(l, '-') OR starts_with(l, '*') OR starts_with(l, chr(8226))) AS n_bullet_lines,
+           count(*) FILTER (ends_with(l, '...') OR ends_with(l, chr(8230))) AS n_ellipsis_lines FROM bare GROUP BY doc_id
+), tops AS (
+    SELECT doc_id, max(n) AS top_word, sum(n) FILTER (regexp_matches(x, '[^\x00-@\[-`{-\x7f]')) AS n_letter_words
+    FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY doc_id, x) GROUP BY doc_id
+), ledger AS (
+    SELECT m.*, coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines,
+           coalesce(top_word, 0) AS top_word, coalesce(n_letter_words, 0) AS n_letter_words
+    FROM m LEFT JOIN marks USING (doc_id) LEFT JOIN tops USING (doc_id)
+), bits AS (
+    SELECT CAST("""
+    + " + ".join(f"CASE WHEN {test} THEN {BIT[name]} ELSE 0 END" for name, test in _ABLATION_RULES.items())
+    + """ AS BIGINT) AS bits FROM ledger
+), policies(policy, mask) AS (VALUES """
+    + ", ".join(f"('{name}', {mask})" for name, mask in POLICIES.items())
+    + "), rules(rule, bit) AS (VALUES "
+    + ", ".join(f"('{name}', {bit})" for name, bit in BIT.items())
+    + """)
+SELECT policy, rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits & mask = bit) AS n_failed_alone,
+       count(*) FILTER (bits & mask = 0) + count(*) FILTER (bits & mask = bit) AS n_kept_without
+FROM bits, policies, rules WHERE mask & bit <> 0 GROUP BY policy, rule
+"""
+)
+
 OP10_SQL = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -185,6 +237,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": op6_url_filter,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_quality": op8_quality,
+        "quality_ablation": quality_ablation,
         "op9_langid": op9_langid,
         "op10_chat": op10_chat,
         "pipeline": pipeline,
@@ -192,4 +245,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_quality": OP8_SQL, "op10_chat": OP10_SQL}
+    return {"op2_top_k": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_quality": OP8_SQL, "quality_ablation": ABLATION_SQL, "op10_chat": OP10_SQL}

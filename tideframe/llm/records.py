@@ -8,7 +8,8 @@ themselves. The index file holds per record its offset, the payload's length and
 which lets a reader fetch records in any order.
 
 Files are written by range of document id, so that the files in order, and the records in a file, ascend.
-A task writes to a name of its own and renames when done: a lost or repeated task leaves no torn file.
+Every attempt of a task writes files of its own name, which nothing renames or overwrites; the manifest names those of
+the attempt that Spark accepted, so lost, repeated and concurrent attempts leave at most files that nothing reads.
 
 Defined cases: null text counts as empty; a null id is kept and comes first; rows that repeat an id
 follow each other in an order fixed by their text; an empty table gives no records.
@@ -123,8 +124,8 @@ def write_records(
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         where, root = filesystem(folder)
-        name = f"{root}/records-{part:06d}.bin"
-        own = f"{name}.{uuid.uuid4().hex}.writing"
+        name = f"records-{part:06d}-{uuid.uuid4().hex}.bin"
+        own = f"{root}/{name}"
         rows: list[tuple[int, int, int]] = []
         offset = 0
         out = None
@@ -142,10 +143,8 @@ def write_records(
         out.close()
         with where.open_output_stream(own + ".idx") as f:
             f.write(np.array(rows, _INDEX).tobytes())
-        for end in (".idx", ""):
-            _replace(where, own + end, name + end)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([f"records-{part:06d}.bin"]), pa.array([len(rows)], pa.int64()), pa.array([sum(r[2] for r in rows)], pa.int64())],
+            [pa.array([part], pa.int32()), pa.array([name]), pa.array([len(rows)], pa.int64()), pa.array([sum(r[2] for r in rows)], pa.int64())],
             ["part", "name", "records", "tokens"],
         )
 
@@ -157,14 +156,6 @@ def write_records(
     return out
 
 
-def _replace(fs, source: str, target: str) -> None:
-    from pyarrow.fs import FileType
-
-    if fs.get_file_info(target).type != FileType.NotFound:
-        fs.delete_file(target)
-    fs.move(source, target)
-
-
 def scan_records(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers), read back from the files."""
     prepare(spark)
