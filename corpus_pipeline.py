@@ -10,16 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideframe.llm.common import read_table, scratch
-from tideframe.llm.langid import fit_langid, keep_known_language
 from tideframe.llm.copies import keep_one_of_near_copies
+from tideframe.llm.langid import fit_langid, keep_known_language
 from tideframe.llm.packing import Limits, pack_documents
 from tideframe.llm.quality import keep_good
 from tideframe.llm.suffix import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy rejects go."""
-    return keep_good(docs, "v1")
+    """Documents that the quality policy rejects go; a short text is not rejected for its length."""
+    return keep_good(docs, "v3")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
