@@ -3,6 +3,9 @@
 A codebook has rows (code, centroid). It is a dimension table: it is fetched once, its size is checked
 against MAX_CODES, and it travels to the tasks as one matrix. Vectors are never exploded or shuffled;
 each Arrow batch is compared with the codebook by matrix products.
+
+Vectors that are null, hold a null or NaN, or have another length than the centroids give no row; an empty
+codebook, or one whose centroids differ in length, is an error. Repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ class Codebook:
         if len(rows) > MAX_CODES:
             raise ValueError(f"a codebook has more than {MAX_CODES} codes; it is a dimension table")
         rows = sorted((r for r in rows if r["v"] is not None), key=lambda r: r["c"])
+        if not rows or len({len(r["v"]) for r in rows}) > 1:
+            raise ValueError("a codebook needs centroids, all of one length")
         self.codes = np.array([r["c"] for r in rows], np.int64)
         self.matrix = np.array([r["v"] for r in rows], np.float64)
-        self.squares = (self.matrix**2).sum(1) if len(rows) else np.zeros(0)
+        self.squares = (self.matrix**2).sum(1)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the nearest centroids (the lowest of equal ones) and their distances."""
@@ -44,9 +49,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
+    """id and vector of the rows whose vectors have `dim` numbers."""
+    v = F.col(vector_col)
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    return vectors.where((F.size(v) == dim) & F.coalesce(whole, F.lit(False))).select(id_col, vector_col)
+
+
 def nearest_code(vectors: DataFrame, codebook: Codebook, id_col: str, vector_col: str) -> DataFrame:
-    """(id, code, distance) of every vector; ties to the lowest code. Null vectors give no row."""
-    source = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    """(id, code, distance) of every vector; ties to the lowest code."""
+    source = _usable(vectors, id_col, vector_col, codebook.matrix.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -58,33 +70,77 @@ def nearest_code(vectors: DataFrame, codebook: Codebook, id_col: str, vector_col
     return source.mapInArrow(run, f"{id_col} {kind}, code bigint, distance double")
 
 
+def residual_codes(x: np.ndarray, levels: list[Codebook]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes by level, and what the last level leaves over."""
+    codes = np.zeros((len(x), len(levels)), np.int64)
+    for k, book in enumerate(levels):
+        at, _ = book.nearest(x)
+        codes[:, k] = book.codes[at]
+        x = x - book.matrix[at]
+    return codes, x
+
+
 def residual_encode(vectors: DataFrame, levels: list[Codebook], id_col: str, vector_col: str) -> DataFrame:
     """(id, codes, residual): level by level the nearest code of what the levels before left over."""
-    source = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    source = _usable(vectors, id_col, vector_col, levels[0].matrix.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            rest, codes = _matrix(b.column(1)), []
-            for book in levels:
-                at, _ = book.nearest(rest)
-                codes.append(book.codes[at])
-                rest = rest - book.matrix[at]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.stack(codes, 1).tolist(), pa.list_(pa.int64())), pa.array(list(rest), pa.list_(pa.float64()))],
-                [id_col, "codes", "residual"],
-            )
+            if b.num_rows:
+                codes, rest = residual_codes(_matrix(b.column(1)), levels)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(codes.tolist(), pa.list_(pa.int64())), pa.array(list(rest), pa.list_(pa.float64()))],
+                    [id_col, "codes", "residual"],
+                )
 
     kind = source.schema[id_col].dataType.simpleString()
     return source.mapInArrow(run, f"{id_col} {kind}, codes array<bigint>, residual array<double>")
 
 
 def split_encode(vectors: DataFrame, semantic: Codebook, acoustic: list[Codebook], id_col: str, vector_col: str) -> DataFrame:
-    """(id, codes): one semantic level, then residual levels that start from the same vector."""
-    first = nearest_code(vectors, semantic, id_col, vector_col).select(id_col, F.col("code").alias("_s"))
-    rest = residual_encode(vectors, acoustic, id_col, vector_col).select(id_col, F.col("codes").alias("_a"))
-    return first.join(rest, id_col).select(id_col, F.concat(F.array("_s"), F.col("_a")).alias("codes"))
+    """(id, codes): one semantic level, then residual levels that start from the same vector; one pass, no join."""
+    source = _usable(vectors, id_col, vector_col, semantic.matrix.shape[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                codes = np.concatenate([residual_codes(x, [semantic])[0], residual_codes(x, acoustic)[0]], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes.tolist(), pa.list_(pa.int64()))], [id_col, "codes"])
+
+    kind = source.schema[id_col].dataType.simpleString()
+    return source.mapInArrow(run, f"{id_col} {kind}, codes array<bigint>")
+
+
+def decode_codes(
+    encoded: DataFrame, books: list[Codebook], id_col: str, levels: int | None = None, split: bool = False
+) -> DataFrame:
+    """(id, decoded) of rows (id, codes): the sum over the levels in use of their centroids, within each Arrow batch.
+
+    The codebooks travel to the tasks, so nothing is exploded or shuffled. split: codes of split_encode; then also
+    (semantic, acoustic), the first level's centroid and the sum of the others, of which decoded is the sum. A row
+    with a code that its book does not hold, or with too few codes, is an error.
+    """
+    used = books[: levels if levels is not None else len(books)]
+    source = encoded.select(id_col, "codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = np.array([row[: len(used)] for row in b.column(1).to_pylist()], np.int64)
+            parts = []
+            for k, book in enumerate(used):
+                at = np.minimum(np.searchsorted(book.codes, codes[:, k]), len(book.codes) - 1)
+                if (book.codes[at] != codes[:, k]).any():
+                    raise ValueError(f"a code of level {k} is not in its codebook")
+                parts.append(book.matrix[at])
+            sums = [sum(parts), parts[0], sum(parts[1:], np.zeros_like(parts[0]))][: 3 if split else 1]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(x), pa.list_(pa.float64())) for x in sums]], [id_col, *names])
+
+    names = ["decoded", *["semantic", "acoustic"] * split]
+    kind = source.schema[id_col].dataType.simpleString()
+    return source.mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{n} array<double>" for n in names))
 
 
 def codes_long(encoded: DataFrame, id_col: str) -> DataFrame:

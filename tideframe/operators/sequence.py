@@ -81,19 +81,17 @@ def ring_context(rows: DataFrame, by: list[str], pos: str, context: int, strict:
 def attention_pool(rows: DataFrame, by: list[str], pos: str, query: str, key: str, value: str, context: int, scale: float = 1.0) -> DataFrame:
     """(by, pos, pooled): softmax(query * key * scale) weighted mean of the values in the causal context.
 
-    A band join: every key is sent to the `context` positions that see it, which is linear in the rows and
-    independent of how long a stream is.
+    One window by range of positions: the rows are shuffled and sorted once, and none is copied for each of the
+    `context` positions that see it. Positions are integers.
     """
-    reach = F.sequence(F.lit(0).cast("bigint"), F.lit(context - 1).cast("bigint"))
-    keys = rows.select(*by, F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(pos).alias("_at"), F.explode(reach).alias("_o"))
-    keys = keys.select(*by, (F.col("_at") + F.col("_o")).alias(pos), "_k", "_v")
-    joined = rows.select(*by, pos, F.col(query).alias("_q")).join(keys, [*by, pos])
-    s = F.col("_q") * F.col("_k") * scale
-    top = joined.withColumn("_s", s).groupBy(*by, pos).agg(F.max("_s").alias("_m"), F.collect_list(F.struct("_s", "_v")).alias("_l"))
+    w = Window.partitionBy(*by).orderBy(F.col(pos).cast("bigint")).rangeBetween(-(context - 1), 0)
+    seen = rows.select(*by, pos, F.col(query).alias("_q"), F.collect_list(F.struct(F.col(key).alias("_k"), F.col(value).alias("_v"))).over(w).alias("_l"))
+    scored = seen.withColumn("_s", F.transform("_l", lambda x: F.struct((F.col("_q") * x["_k"] * scale).alias("_s"), x["_v"].alias("_v"))))
+    scored = scored.withColumn("_m", F.array_max(F.transform("_s", lambda x: x["_s"])))
     weight = lambda x: F.exp(x["_s"] - F.col("_m"))
-    num = F.aggregate("_l", F.lit(0.0), lambda a, x: a + weight(x) * x["_v"])
-    den = F.aggregate("_l", F.lit(0.0), lambda a, x: a + weight(x))
-    return top.select(*by, pos, (num / den).alias("pooled"))
+    num = F.aggregate("_s", F.lit(0.0), lambda a, x: a + weight(x) * x["_v"])
+    den = F.aggregate("_s", F.lit(0.0), lambda a, x: a + weight(x))
+    return scored.select(*by, pos, (num / den).alias("pooled"))
 
 
 def per_step_weights(rows: DataFrame, weights: DataFrame, pos: str, value: str) -> DataFrame:

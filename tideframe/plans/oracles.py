@@ -18,7 +18,7 @@ def _minus(a: str, b: str) -> str:
 def _nearest(name: str, source: str, vector: str, low: int, high: int) -> str:
     """CTE: vec_id, code, c (the centroid), d2, x (the vector)."""
     return (
-        f"{name} AS (SELECT * FROM (SELECT q.vec_id, b.vec_id AS code, b.e AS c, q.{vector} AS x, {_sq('q.' + vector, 'b.e')} AS d2, "
+        f"{name} AS MATERIALIZED (SELECT * FROM (SELECT q.vec_id, b.vec_id AS code, b.e AS c, q.{vector} AS x, {_sq('q.' + vector, 'b.e')} AS d2, "
         f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {_sq('q.' + vector, 'b.e')}, b.vec_id) AS n "
         f"FROM {source} q, v b WHERE b.vec_id >= {low} AND b.vec_id < {high}) WHERE n = 1)"
     )
@@ -28,11 +28,11 @@ _RVQ = ", ".join(
     [
         _LATENT,
         _nearest("l0", "v", "e", 0, 32),
-        f"r0 AS (SELECT vec_id, code AS c0, c AS m0, {_minus('x', 'c')} AS r FROM l0)",
+        f"r0 AS MATERIALIZED (SELECT vec_id, code AS c0, c AS m0, {_minus('x', 'c')} AS r FROM l0)",
         _nearest("l1", "r0", "r", 32, 64),
-        f"r1 AS (SELECT vec_id, code AS c1, c AS m1, {_minus('x', 'c')} AS r FROM l1)",
+        f"r1 AS MATERIALIZED (SELECT vec_id, code AS c1, c AS m1, {_minus('x', 'c')} AS r FROM l1)",
         _nearest("l2", "r1", "r", 64, 96),
-        f"r2 AS (SELECT vec_id, code AS c2, c AS m2, {_minus('x', 'c')} AS r FROM l2)",
+        f"r2 AS MATERIALIZED (SELECT vec_id, code AS c2, c AS m2, {_minus('x', 'c')} AS r FROM l2)",
     ]
 )
 _U = "((CAST('0x' || substr(md5(CAST(code AS VARCHAR)), 1, 8) AS BIGINT) + 1) / 4294967297.0)"
@@ -73,6 +73,21 @@ ORACLES: dict[str, str] = {
     "rvq_decode": f"""WITH {_RVQ} SELECT vec_id, round(sqrt(list_sum(list_transform(r2.r, lambda x: x * x))), 6) AS error, round(m0[1] + m1[1] + m2[1], 6) AS d0
         FROM r0 JOIN r1 USING (vec_id) JOIN r2 USING (vec_id)""",
     "rvq_decode_two_levels": f"WITH {_RVQ} SELECT vec_id, round(sqrt(list_sum(list_transform(r, lambda x: x * x))), 6) AS error FROM r1",
+    "rvq_lookup": f"""WITH {_RVQ} SELECT vec_id, round(m0[1] + m1[1] + m2[1], 6) + 0.0 AS d0, round(m0[64] + m1[64] + m2[64], 6) + 0.0 AS d63
+        FROM r0 JOIN r1 USING (vec_id) JOIN r2 USING (vec_id)""",
+    "split_decode": ", ".join(
+        [
+            f"WITH {_LATENT}",
+            _nearest("s0", "v", "e", 0, 32),
+            _nearest("a0", "v", "e", 32, 64),
+            f"q0 AS (SELECT vec_id, {_minus('x', 'c')} AS r FROM a0)",
+            _nearest("a1", "q0", "r", 64, 96),
+            "t AS (SELECT vec_id, s0.c AS s, list_transform(list_zip(a0.c, a1.c), lambda p: p[1] + p[2]) AS a FROM s0 JOIN a0 USING (vec_id) JOIN a1 USING (vec_id))",
+        ]
+    )
+    + """ SELECT vec_id, round(sqrt(list_sum(list_transform(s, lambda x: x * x))), 6) AS semantic,
+        round(sqrt(list_sum(list_transform(a, lambda x: x * x))), 6) AS acoustic,
+        round(sqrt(list_sum(list_transform(list_zip(s, a), lambda p: (p[1] + p[2]) * (p[1] + p[2])))), 6) AS decoded FROM t""",
     "split_rvq": ", ".join(
         [
             f"WITH {_LATENT}",

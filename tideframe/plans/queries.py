@@ -82,21 +82,39 @@ def _rvq_codes(spark, sf_dir):
     return quantize.codes_long(quantize.residual_encode(latents(spark, sf_dir), books, "vec_id", "v"), "vec_id")
 
 
+def _decoded(spark, sf_dir, used=None):
+    books = [quantize.Codebook(b) for b in levels(spark, sf_dir)]
+    encoded = quantize.residual_encode(latents(spark, sf_dir), books, "vec_id", "v")
+    joined = latents(spark, sf_dir).join(quantize.decode_codes(encoded, books, "vec_id", used), "vec_id")
+    return joined.withColumn("error", r6(F.sqrt(arrays.squared_distance(F.col("v"), F.col("decoded")))))
+
+
 @query
 def rvq_decode(spark, sf_dir):
-    dimension = quantize.codebook_table(list(enumerate(levels(spark, sf_dir))))
-    decoded = quantize.decode(_rvq_codes(spark, sf_dir), dimension, "vec_id", 64)
-    joined = latents(spark, sf_dir).join(decoded, "vec_id")
-    return joined.select("vec_id", r6(F.sqrt(arrays.squared_distance(F.col("v"), F.col("decoded")))).alias("error"), r6(F.get("decoded", F.lit(0))).alias("d0"))
+    return _decoded(spark, sf_dir).select("vec_id", "error", r6(F.get("decoded", F.lit(0))).alias("d0"))
 
 
 @query
 def rvq_decode_two_levels(spark, sf_dir):
     """Only the first two codebooks in use."""
+    return _decoded(spark, sf_dir, 2).select("vec_id", "error")
+
+
+@query
+def rvq_lookup(spark, sf_dir):
+    """The same decoding by a join of codes with a codebook table, which may be larger than MAX_CODES."""
     dimension = quantize.codebook_table(list(enumerate(levels(spark, sf_dir))))
-    decoded = quantize.decode(_rvq_codes(spark, sf_dir), dimension, "vec_id", 64, levels=2)
-    joined = latents(spark, sf_dir).join(decoded, "vec_id")
-    return joined.select("vec_id", r6(F.sqrt(arrays.squared_distance(F.col("v"), F.col("decoded")))).alias("error"))
+    decoded = quantize.decode(_rvq_codes(spark, sf_dir), dimension, "vec_id", 64)
+    return decoded.select("vec_id", r6(F.get("decoded", F.lit(0))).alias("d0"), r6(F.get("decoded", F.lit(63))).alias("d63"))
+
+
+@query
+def split_decode(spark, sf_dir):
+    """Semantic and acoustic parts decoded apart, and their sum."""
+    semantic, *acoustic = [quantize.Codebook(b) for b in levels(spark, sf_dir)]
+    encoded = quantize.split_encode(latents(spark, sf_dir), semantic, acoustic, "vec_id", "v")
+    out = quantize.decode_codes(encoded, [semantic, *acoustic], "vec_id", split=True)
+    return out.select("vec_id", *[r6(F.sqrt(arrays.dot(F.col(c), F.col(c)))).alias(c) for c in ("semantic", "acoustic", "decoded")])
 
 
 @query
