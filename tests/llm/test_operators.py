@@ -447,3 +447,17 @@ def test_rules_on_lines_and_words():
     assert bits("one…\ntwo...\nthree") & quality.BIT["ellipses"] and bits("12 34 5.6 ab") & quality.BIT["no_letters"]
     assert bits("") == quality.BIT["few_words"] | quality.BIT["no_words"] and not bits("zwölf kurze Wörter") & quality.POLICIES["v3"]
     assert bits("the " * 30 + " ".join(f"w{k}" for k in range(40))) & quality.BIT["top_words"]
+
+
+def test_edges_stay_fewer_than_items_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PACK", 64)
+    monkeypatch.setattr(simhash, "BLOCK", 200)
+    rng = np.random.default_rng(5)
+    fps = {0} | {int(sum(1 << int(b) for b in rng.choice(62, 2, replace=False))) for _ in range(900)}
+    rows = [(k, int(fp).to_bytes(8, "little")) for k, fp in enumerate(sorted(fps))]
+    items = spark.createDataFrame(rows, "key long, fp binary").repartition(16)
+    found = simhash.edges(items, 4, shard=300)
+    # one edge for each item and block that it visits, at most, and there are about 15 blocks; pairs are 258,000
+    assert found.count() <= 16 * len(rows)
+    tops = simhash.components(found).collect()
+    assert len(tops) == len(rows) - 1 and {r["root"] for r in tops} == {0}

@@ -36,7 +36,7 @@ WIDE = 60
 #: Items of one shard of the candidate search, about: balls of this radius overlap most shards, so shards are large.
 SHARD = 1 << 13
 #: Shingles of one block of a group's members, and members that meet one copy of the first.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 SALT = 512
 
 _TURN = np.array([0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)

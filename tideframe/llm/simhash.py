@@ -190,9 +190,11 @@ def link(home: np.ndarray, tree: VantageTree, where: dict, queries: np.ndarray,
                 yield i[near], j[near]
 
 
-def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n items the smallest item that the pairs connect it with."""
+def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], known: np.ndarray | None = None) -> np.ndarray:
+    """For each of n items the smallest item that the pairs connect it with; known: such roots of the first items."""
     parent = np.arange(n)
+    if known is not None:
+        parent[: len(known)] = known
 
     def find(x: np.ndarray) -> np.ndarray:
         while True:
@@ -276,9 +278,13 @@ def edges(unique: DataFrame, radius: int = RADIUS, wide: int = 0, least: float |
             )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's residents come first; then one message after another is compared with them."""
+        """A block's residents come first; then one message after another is compared with them.
+
+        What earlier messages have joined is remembered, so a message gives one edge for each of its own linked items
+        and one for each pair of residents' groups that it joins: no more edges than items, however they are linked.
+        """
         enter("simhash")
-        here, home, kept, tree, where = None, np.zeros(0, kind), [], None, {}
+        here, home, kept, tree, where, known = None, np.zeros(0, kind), [], None, {}, np.zeros(0, np.int64)
         for b in batches:
             for leaf, block, role, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (leaf, block) != here:
@@ -291,14 +297,20 @@ def edges(unique: DataFrame, radius: int = RADIUS, wide: int = 0, least: float |
                     home = np.unique(np.concatenate(kept)) if kept else home
                     tree = VantageTree(np.ascontiguousarray(home["fp"][:, 0]), home["size"], BUCKET, radius, least, force=False)
                     where = dict(tree.route(np.ascontiguousarray(home["fp"][:, 0]), home["size"], -1))
+                    known = np.arange(len(home))
                 if not len(home):
                     continue
-                keys, at = np.unique(np.concatenate([home["key"], items["key"]]), return_inverse=True)
-                mine, theirs = at[: len(home)], at[len(home) :]
-                top = roots(len(keys), ((theirs[i], mine[j]) for i, j in link(home, tree, where, items, radius, wide, least)))
-                a = np.flatnonzero(top != np.arange(len(keys)))
+                n = len(home)
+                at = np.minimum(np.searchsorted(home["key"], items["key"]), n - 1)  # a resident goes by its place at home
+                at = np.where(home["key"][at] == items["key"], at, n + np.arange(len(items)))
+                top = roots(n + len(items), ((at[i], j) for i, j in link(home, tree, where, items, radius, wide, least)), known)
+                joined = np.flatnonzero((known == np.arange(n)) & (top[:n] != known))
+                linked = np.flatnonzero((at >= n) & (top[n:] != n + np.arange(len(items))))
+                known = top[:n]
+                a = np.concatenate([home["key"][joined], items["key"][linked]])
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[top[a]])], ["a", "b"])
+                    to = np.concatenate([top[joined], top[n + linked]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(home["key"][to])], ["a", "b"])
 
     packed = unique.mapInArrow(send, "leaf int, block int, role int, items binary")
     parts = max(8, min(4096, 2 * sum(blocks.values())))  # by number, so that small messages are not gathered into few tasks
