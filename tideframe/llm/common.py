@@ -7,6 +7,7 @@ import ctypes
 import gc
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -83,13 +84,15 @@ def positional(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests in local mode) a temporary folder is made and set.
+    Only where that is unset in local mode (tests) a temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(sc, "_tideframe_shared", None)
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="tideframe_shared")
             sc._tideframe_shared = found
     if sc._jsc.sc().getCheckpointDir().isEmpty():
