@@ -20,8 +20,8 @@ def test_matches_sql(spark, sf_dir, con, name):
     assert rows == expected
 
 
-def test_every_query_but_stateful_ones_has_sql():
-    assert set(QUERIES) - set(oracles.ORACLES) == {"jitter_playback"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(oracles.ORACLES)
 
 
 def test_entry(spark):

@@ -215,6 +215,28 @@ ORACLES: dict[str, str] = {
     "rms_intensity": "SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms, CAST(floor(least(greatest(sqrt(avg(value * value)) / 500, 0), 1) * 10) AS BIGINT) AS level FROM events GROUP BY user_id",
     "loudness_gain": """WITH l AS (SELECT user_id, 10 * log10(avg((value / 1000) * (value / 1000))) - 0.691 AS level FROM events GROUP BY user_id)
         SELECT user_id, round(level, 6) AS level, round(pow(10.0, (-24.0 - level) / 20), 6) AS gain FROM l""",
+    "jitter_playback": """WITH RECURSIVE e AS MATERIALIZED (
+            SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+                   CASE WHEN event_type <> 'view' THEN CAST(trunc(value * 8) AS BIGINT) ELSE 0 END AS s FROM events
+        ), b AS (
+            SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS held, 0 AS started, 0::BIGINT AS wait_left, 240::BIGINT AS wait, 240::BIGINT AS slack,
+                   0::BIGINT AS total, 0::BIGINT AS actual, 0::BIGINT AS dropped, -1::BIGINT AS lo, 0::BIGINT AS hi FROM e
+            UNION ALL
+            SELECT user_id, i, held - given, CASE WHEN dry THEN 0 ELSE started END, CASE WHEN plays THEN wait_left ELSE wait_left - 1920 END,
+                   CASE WHEN dry THEN least(wait + 120, 1920) ELSE wait END, slack, CASE WHEN plays OR actual > 0 THEN total + 1920 ELSE total END,
+                   actual + given, dropped, CASE WHEN NOT plays THEN lo WHEN lo < 0 THEN held ELSE least(lo, held) END,
+                   CASE WHEN plays THEN greatest(hi, held) ELSE hi END
+            FROM (SELECT *, CASE WHEN plays THEN least(held, 1920) ELSE 0 END AS given, plays AND held < 1920 AS dry FROM (
+                SELECT user_id, i, held - lost AS held, started, wait_left, wait, CASE WHEN lost > 0 THEN least(slack + 120, 1920) ELSE slack END AS slack,
+                       total, actual, dropped + lost AS dropped, lo, hi, started = 1 AND held > lost AND wait_left <= 0 AS plays
+                FROM (SELECT *, CASE WHEN s > 0 AND held >= 1920 + wait + slack THEN held - 1920 - wait ELSE 0 END AS lost FROM (
+                    SELECT user_id, i, s, held, CASE WHEN begins THEN 1 ELSE started END AS started, CASE WHEN begins THEN wait ELSE wait_left END AS wait_left,
+                           wait, slack, total, actual, dropped, lo, hi
+                    FROM (SELECT b.user_id, e.i, e.s, b.held + e.s AS held, e.s > 0 AND b.held + e.s >= 1920 AND b.started = 0 AS begins,
+                                 started, wait_left, wait, slack, total, actual, dropped, lo, hi FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)))))
+        )
+        SELECT user_id, total, actual, total - actual AS missed, dropped, lo AS min_delay, hi AS max_delay FROM b
+        WHERE (user_id, i) IN (SELECT user_id, max(i) FROM e GROUP BY user_id)""",
     "inactivity_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM n GROUP BY user_id, no""",
