@@ -101,6 +101,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+OP1_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+    SELECT r, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT r, b, unnest(range(0, octet_length(b) - 399)) AS i FROM d)
+), again AS (
+    SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), hit AS (
+    SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS fresh FROM w SEMI JOIN again USING (h)
+), span AS (
+    SELECT r, min(i) AS a, max(i) + 400 AS z
+    FROM (SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS g FROM hit) GROUP BY r, g
+), rest AS (
+    SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM span
+    UNION ALL SELECT r, coalesce(z, 0), octet_length(b) FROM d LEFT JOIN (SELECT r, max(z) AS z FROM span GROUP BY r) USING (r)
+), kept AS (
+    SELECT r, sha256(unhex(string_agg(hex(b[a + 1:z]), '' ORDER BY a, z))) AS kept_sha256 FROM rest JOIN d USING (r) GROUP BY r
+), cut AS (
+    SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY r
+), tok AS (
+    SELECT r, unnest(l) AS x, unnest(range(0, len(l))) AS k FROM (SELECT r, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS l FROM d)
+), word AS (
+    SELECT r, k, regexp_replace(x, '^[\x20\x09-\x0D]+', '') AS x, sum(strlen(x)) OVER (PARTITION BY r ORDER BY k) AS z FROM tok
+), said AS (
+    SELECT r, k, md5(array_to_string(l, ' ')) AS h
+    FROM (SELECT r, k, list(x) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING) AS l FROM word) WHERE len(l) = 51
+), told AS (
+    SELECT h FROM said GROUP BY h HAVING count(*) > 1
+), heard AS (
+    SELECT r, k, coalesce(k - lag(k) OVER (PARTITION BY r ORDER BY k) > 51, true) AS fresh FROM said SEMI JOIN told USING (h)
+), passage AS (
+    SELECT r, min(k) AS a, max(k) + 50 AS z
+    FROM (SELECT r, k, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY k) AS g FROM heard) GROUP BY r, g
+), passages AS (
+    SELECT p.r, sum(y.z - (x.z - strlen(x.x))) AS n_passage_bytes, count(*) AS n_passages
+    FROM passage p JOIN word x ON x.r = p.r AND x.k = p.a JOIN word y ON y.r = p.r AND y.k = p.z GROUP BY p.r
+)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       kept_sha256, CAST(coalesce(n_passage_bytes, 0) AS BIGINT) AS n_passage_bytes, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages
+FROM d JOIN kept USING (r) LEFT JOIN cut USING (r) LEFT JOIN passages USING (r)
+"""
+
 OP2_SQL = """
 WITH e AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -245,4 +287,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_quality": OP8_SQL, "quality_ablation": ABLATION_SQL, "op10_chat": OP10_SQL}
+    return {
+        "op1_suffix_dedup": OP1_SQL,
+        "op2_top_k": OP2_SQL,
+        "op6_url_filter": OP6_SQL,
+        "op8_quality": OP8_SQL,
+        "quality_ablation": ABLATION_SQL,
+        "op10_chat": OP10_SQL,
+    }
